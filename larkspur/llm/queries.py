@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, sharding
+from . import fingerprints, line_dedup, mixing, sharding, substring_dedup
 from .common import read_table
 
 SHARDS = 24
@@ -71,6 +71,29 @@ FROM l LEFT JOIN k USING (doc_id)
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.dedup_substrings(docs)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS pos FROM d WHERE len(w) >= 50),
+x AS (SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos, pos + 49), ' ')) AS win FROM p),
+f AS (SELECT win, min(doc_id) AS first FROM x GROUP BY win HAVING min(doc_id) < max(doc_id)),
+l AS (SELECT DISTINCT x.doc_id, x.pos FROM x JOIN f USING (win) WHERE x.doc_id > f.first),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS i FROM l),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (
+  SELECT e.doc_id, count(c.i)::BIGINT AS n_removed, coalesce(string_agg(e.word, ' ' ORDER BY e.i) FILTER (WHERE c.i IS NULL), '') AS kept
+  FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))
@@ -91,8 +114,8 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_source_mixing, op6_line_window_dedup, op10_bottom_k_fingerprints)}
+    return {f.__name__: f for f in (op1_kd_sharding, op2_source_mixing, op6_line_window_dedup, op9_substring_dedup, op10_bottom_k_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op6_line_window_dedup": OP6_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op6_line_window_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL}
