@@ -3,8 +3,7 @@
 First pass: every document adds its windows to a count-min sketch, once for each window.  A window is
 entered under the least hash of its 20-word runs, so the dozen or so windows around one such run share
 an entry; a window's estimate is never below the number of documents that hold it.  Partial
-sketches are merged block by block, and only the bits "two or more" reach the driver: 2 * 2^bits / 8
-bytes, bounded by MAX_BITS whatever the input.
+sketches are merged block by block (sketch.py).
 Second pass: windows estimated repeated are grouped exactly (96-bit hashes of the word sequence) for
 their first and last document.  Third: their places are joined with the windows that have an earlier
 document, places are merged per document, and the covered words go.
@@ -28,15 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import hash_spans, mixed, pieces, text_bytes, window_hashes, word_spans
+from .sketch import maybe_repeated, repeated_bits, sketch_bits
 
 WINDOW = 50
 #: Words of the runs that name a window in the sketch.
 GRAM = 20
-#: The sketch has 2 rows of 2 ** bits cells; bits follow the number of documents up to MAX_BITS (2 * 32 MB of bits).
-MAX_BITS = 28
-CELLS_PER_DOCUMENT = 256
-BLOCKS = 64
-_SHIFT = np.uint64(31)
+#: Sketch entries to expect of a document; sizes the sketch and decides nothing else.
+NAMES_PER_DOCUMENT = 64
+_OTHER = np.uint64(0xA24BAED4963EE407)
 _NULL = -(2**63)
 
 
@@ -66,71 +64,32 @@ def _windows(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple[np
         yield ids[lo:hi], doc[whole], whole - first[doc[whole]], whole, name, words
 
 
-def _cells(name: np.ndarray, bits: int) -> list[np.ndarray]:
-    mask = np.uint64((1 << bits) - 1)
-    return [(name & mask).astype(np.int64), ((name >> _SHIFT) & mask).astype(np.int64)]
-
-
-def _sketch_bits(docs: DataFrame, bits: int, window: int, gram: int) -> list[np.ndarray]:
-    """For both rows of the sketch the packed bits of cells that count two documents or more."""
-    block = bits - BLOCKS.bit_length() + 1
-    shape = pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: list[list[np.ndarray]] = [[], []]
-            for _, doc, _, _, name, _ in _windows(batch, window, gram):
-                order = np.lexsort((name, doc))
-                name, doc = name[order], doc[order]
-                once = np.ones(len(name), dtype=bool)
-                once[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-                for row, cells in enumerate(_cells(name[once], bits)):
-                    seen[row].append(cells)
-            for row in (0, 1):
-                if seen[row]:
-                    cells, counts = np.unique(np.concatenate(seen[row]), return_counts=True)
-                    counts = np.minimum(counts, 2).astype(np.uint8)
-                    cut = np.searchsorted(cells, np.arange(BLOCKS + 1) << block)
-                    some = [i for i in range(BLOCKS) if cut[i] < cut[i + 1]]
-                    inner = [(cells[cut[i] : cut[i + 1]] - (i << block)).astype(np.uint32).tobytes() for i in some]
-                    yield pa.record_batch([pa.array([row * BLOCKS + i for i in some], pa.int32()), pa.array(inner, pa.binary()), pa.array([counts[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], schema=shape)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, cells, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                total = sums.setdefault(part, np.zeros(1 << block, dtype=np.uint8))
-                at = np.frombuffer(cells, dtype=np.uint32)
-                total[at] = np.minimum(total[at] + np.frombuffer(counts, dtype=np.uint8), 2)
-        parts = list(sums)
-        yield pa.record_batch([pa.array(parts, pa.int32()), pa.array([np.packbits(sums[p] >= 2).tobytes() for p in parts], pa.binary())], names=["part", "bits"])
-
-    made = docs.mapInArrow(partial, "part int, cells binary, counts binary").repartition(BLOCKS // 2, "part").mapInArrow(merge, "part int, bits binary")
-    out = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(2)]
-    for r in made.collect():
-        row, i = divmod(r["part"], BLOCKS)
-        out[row][i << (block - 3) : (i + 1) << (block - 3)] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
+def _names(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[np.ndarray]:
+    """The sketch entries of a batch: each name once for each document."""
+    for _, doc, _, _, name, _ in _windows(batch, window, gram):
+        order = np.lexsort((name, doc))
+        name, doc = name[order], doc[order]
+        once = np.ones(len(name), dtype=bool)
+        once[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+        yield name[once]
 
 
 def covered_places(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """key and `places`: the first words of each document's windows that also start in a document with a smaller key."""
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    bits = min(MAX_BITS, max(16, (CELLS_PER_DOCUMENT * max(1, docs.count()) - 1).bit_length()))
-    often = spark.sparkContext.broadcast(_sketch_bits(texts, bits, window, gram))
+    bits = sketch_bits(NAMES_PER_DOCUMENT * docs.count())
+    often = spark.sparkContext.broadcast(repeated_bits(texts, lambda batch: _names(batch, window, gram), bits))
 
     def estimated(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         """Document, first word and both hashes of the windows estimated repeated."""
         rows = often.value
         for ids, doc, place, at, name, words in _windows(batch, window, gram):
-            keep = np.ones(len(name), dtype=bool)
-            for table, cells in zip(rows, _cells(name, bits)):
-                keep &= (table[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+            keep = maybe_repeated(rows, name)
             if keep.any():
                 at = at[keep]
                 a = window_hashes(words, window)[at].view(np.int64)
-                b = (window_hashes(mixed(words ^ _SHIFT), window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                b = (window_hashes(mixed(words ^ _OTHER), window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield ids[doc[keep]], place[keep].astype(np.int32), a, b
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
