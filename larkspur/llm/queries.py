@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, sharding, substring_dedup
+from . import fingerprints, jaccard_join, line_dedup, mixing, sharding, substring_dedup
 from .common import read_table
 
 SHARDS = 24
@@ -47,6 +47,29 @@ SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size
 """
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs)
+
+
+OP4_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, pos, pos + 4), ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS sig FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep FROM c),
+r AS (SELECT s.doc_id, s.g FROM s JOIN k USING (doc_id) WHERE k.rep = s.doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+u AS (SELECT x, y FROM e UNION SELECT y, x FROM e UNION SELECT rep, rep FROM k),
+t(x, y) AS (SELECT x, y FROM u UNION SELECT t.x, u.y FROM t JOIN u ON t.y = u.x),
+m AS (SELECT x, min(y) AS component_id FROM t GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN m ON m.x = k.rep
+"""
+
+
 def op6_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -114,8 +137,8 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_source_mixing, op6_line_window_dedup, op9_substring_dedup, op10_bottom_k_fingerprints)}
+    return {f.__name__: f for f in (op1_kd_sharding, op2_source_mixing, op4_ngram_jaccard_join, op6_line_window_dedup, op9_substring_dedup, op10_bottom_k_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op6_line_window_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_line_window_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL}
