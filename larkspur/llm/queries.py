@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, line_dedup, mixing, sharding, substring_dedup
-from .common import read_table
+from . import fingerprints, jaccard_join, language_id, line_dedup, mixing, quality_cnn, quality_rules, sharding, substring_dedup
+from .common import held_out, read_table
 
 SHARDS = 24
 
@@ -47,6 +47,12 @@ SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size
 """
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_rules.judged(docs, read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.near_duplicates(docs)
@@ -70,6 +76,13 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN m ON m.x
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -94,6 +107,13 @@ FROM l LEFT JOIN k USING (doc_id)
 """
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_cnn.train(docs, read_table(spark, sf_dir, "labels"))
+    out = quality_cnn.scored(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring_dedup.dedup_substrings(docs)
@@ -137,7 +157,7 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_source_mixing, op4_ngram_jaccard_join, op6_line_window_dedup, op9_substring_dedup, op10_bottom_k_fingerprints)}
+    return {f.__name__: f for f in (op1_kd_sharding, op2_source_mixing, op3_quality_rules, op4_ngram_jaccard_join, op5_language_id, op6_line_window_dedup, op7_quality_cnn, op9_substring_dedup, op10_bottom_k_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
