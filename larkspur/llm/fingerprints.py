@@ -91,12 +91,13 @@ def with_next(docs: DataFrame, columns: dict[str, Column], then: dict[str, Colum
     copy = F.struct(F.pmod(F.col("_at") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("extra"))
     first = F.get(numbers(bounds), F.col("_at")) == v
     placed = placed.withColumn("_to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
-    order = Window.partitionBy("_to.range").orderBy("_to.extra", "_v")
-    out = placed.drop("_block", "_at").withColumns({f"next_{c}": F.lead(e).over(order) for c, e in columns.items()})
+    placed = placed.withColumns({"_range": F.col("_to.range"), "_extra": F.col("_to.extra")})  # plain columns, so both windows share one exchange
+    order = Window.partitionBy("_range").orderBy("_extra", "_v")
+    out = placed.drop("_block", "_at", "_to").withColumns({f"next_{c}": F.lead(e).over(order) for c, e in columns.items()})
     if then:
         out = out.withColumns(then)
         out = out.withColumns({f"next_{c}": F.lead(c).over(order) for c in then})
-    return out.filter(F.col("_to.extra") == 0).drop("_to", "_v")
+    return out.filter(F.col("_extra") == 0).drop("_range", "_extra", "_v")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K) -> DataFrame:
