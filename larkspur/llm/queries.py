@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, line_dedup, mixing, quality_cnn, quality_rules, sharding, substring_dedup
+from . import fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, quality_cnn, quality_rules, sharding, substring_dedup
 from .common import held_out, read_table
 
 SHARDS = 24
@@ -114,6 +114,11 @@ def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring_dedup.dedup_substrings(docs)
@@ -157,7 +162,7 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_source_mixing, op3_quality_rules, op4_ngram_jaccard_join, op5_language_id, op6_line_window_dedup, op7_quality_cnn, op9_substring_dedup, op10_bottom_k_fingerprints)}
+    return {f.__name__: f for f in (op1_kd_sharding, op2_source_mixing, op3_quality_rules, op4_ngram_jaccard_join, op5_language_id, op6_line_window_dedup, op7_quality_cnn, op8_best_fit_packing, op9_substring_dedup, op10_bottom_k_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
