@@ -16,18 +16,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local session without one gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    held = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if held:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(held)
+        return held
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the shared checkpoint folder.
+    """Compute df once and keep it in the shared folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a local session without one
-    gets a temporary folder.  The files stay valid when executors are lost, and Spark's
-    cleaner removes them with the last reference when so configured.
+    The files stay valid when executors are lost, and Spark's cleaner removes them with the last
+    reference when so configured.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
