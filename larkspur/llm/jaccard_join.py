@@ -36,9 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import hash_spans, mixed, pieces, text_bytes, window_hashes, word_spans
-from .common import checkpointed
+from .common import Scratch, checkpointed
 from .components import components
-from .sketch import maybe_repeated, repeated_bits, sketch_bits
+from .sketch import maybe_member, maybe_repeated, members, repeated_bits, sketch_bits
 
 SHINGLE = 5
 #: The threshold as a ratio of whole numbers.
@@ -87,62 +87,82 @@ def needed(m: Column, n: Column) -> Column:
     return ((total + (NUM + DEN - 1)) / (NUM + DEN)).cast("long")
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    """The frequent shingles, rarest first."""
+def _facts(texts: DataFrame) -> DataFrame:
+    """In one pass: k, n, c1, c2 (the class) of each row, and token, count of shingles that are frequent in a batch, equal sets counted once."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {}
-            for _, one in shingle_sets(batch):
+            sets, rows = {}, []
+            for k, one in shingle_sets(batch):
+                name = _class_of(one)
+                rows.append((k, len(one), *name))
                 if len(one):
-                    sets[_class_of(one)] = one
+                    sets[name] = one
+            if rows:
+                columns = [pa.array(np.array(x, dtype=np.int64)) for x in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), pa.int64())] * 2], names=["k", "n", "c1", "c2", "token", "count"])
             if sets:
                 tokens, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                 keep = n >= max(2, FREQUENT * batch.num_rows)
-                yield pa.record_batch([pa.array(tokens[keep]), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(int(keep.sum()), pa.int64())] * 4, pa.array(tokens[keep]), pa.array(n[keep].astype(np.int64))], names=["k", "n", "c1", "c2", "token", "count"])
 
-    counts = texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") > F.lit(max(2.0, FREQUENT * texts.count()))).toPandas().sort_values(["n", "token"])
+    return texts.mapInArrow(read, "k long, n long, c1 long, c2 long, token long, count long")
+
+
+def _frequent(facts: DataFrame, docs: int) -> np.ndarray:
+    """The frequent shingles, rarest first."""
+    counts = facts.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("n"))
+    rows = counts.filter(F.col("n") > F.lit(max(2.0, FREQUENT * docs))).toPandas().sort_values(["n", "token"])
     return rows["token"].to_numpy(dtype=np.int64)
 
 
-def _signatures(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """k, n, c1, c2 (the class) and short: the set's first shingles in the global order, as order values."""
+def _only(batch: pa.RecordBatch, tables: list[np.ndarray]) -> pa.RecordBatch:
+    """The rows (id, text) whose id may be in the tables."""
+    ids = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(maybe_member(tables, ids)))
+
+
+def _short_lists(texts: DataFrame, reps: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """rep, n and short: the first shingles of each representative's set in the global order, as order values.
+
+    Texts are picked by a sketch of the representatives, not by a join that would move all texts.  A
+    copy that slips through is a set like its representative's, and links with it.
+    """
     by_token = np.argsort(frequent)
-    table = texts.sparkSession.sparkContext.broadcast((frequent[by_token], by_token))
+    sc = texts.sparkSession.sparkContext
+    table, wanted = sc.broadcast((frequent[by_token], by_token)), sc.broadcast(members(reps))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = table.value
         for batch in batches:
-            ids, sizes, c1, c2, short = [], [], [], [], []
-            for k, one in shingle_sets(batch):
+            ids, sizes, short = [], [], []
+            for k, one in shingle_sets(_only(batch, wanted.value)):
+                if not len(one):
+                    continue
                 want = len(one) - _least_overlap(len(one)) + 1
                 order = one
-                if len(tokens) and len(one):
+                if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, one), len(tokens) - 1)
                     heavy = tokens[at] == one
                     order = one[~heavy][:want]
                     if len(order) < want:
                         order = np.concatenate([order, np.sort(rank[at[heavy]])[: want - len(order)] + _HEAVY])
-                name = _class_of(one)
-                ids.append(k), sizes.append(len(one)), c1.append(name[0]), c2.append(name[1])
-                short.append(order[:want] if len(one) else order[:0])
+                ids.append(k), sizes.append(len(one)), short.append(order[:want])
                 if len(ids) == 1000:
-                    yield _signed(ids, sizes, c1, c2, short)
-                    ids, sizes, c1, c2, short = [], [], [], [], []
+                    yield _signed(ids, sizes, short)
+                    ids, sizes, short = [], [], []
             if ids:
-                yield _signed(ids, sizes, c1, c2, short)
+                yield _signed(ids, sizes, short)
 
-    return texts.mapInArrow(sign, "k long, n long, c1 long, c2 long, short binary")
+    return texts.mapInArrow(sign, "rep long, n long, short binary")
 
 
-def _signed(ids, sizes, c1, c2, short) -> pa.RecordBatch:
-    columns = [pa.array(x, pa.int64()) for x in (ids, sizes, c1, c2)] + [pa.array([x.astype(np.int64).tobytes() for x in short], pa.binary())]
-    return pa.record_batch(columns, names=["k", "n", "c1", "c2", "short"])
+def _signed(ids: list[int], sizes: list[int], short: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x.astype(np.int64).tobytes() for x in short], pa.binary())], names=["rep", "n", "short"])
 
 
 def _entries(classes: DataFrame) -> DataFrame:
-    """List entries that another class may share: token, rep, n, lost (shingles of the set that a pair which first meets here cannot share), last (the largest order value merged), shared (part of the entries that may be shared)."""
+    """List entries that another class may share: token, rep, n, pos (entries before this one), dead (entries after it that no other class has), last (the largest order value)."""
     session = classes.sparkSession
 
     def names(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -188,15 +208,17 @@ def _may_link(a: str, b: str) -> Column:
     return (F.least(c(a, "n"), c(b, "n")) >= need) & (c(a, "n") - c(a, "pos") >= need) & (c(b, "n") - c(b, "pos") >= need) & (room >= need)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sets share enough shingles."""
-    ids = pairs.select(F.col("x").alias("k")).union(pairs.select(F.col("y").alias("k"))).distinct()
-    # the key is unique among the texts of representatives, or rows that share it count as one document
-    near = texts.join(ids, "k", "left_semi").select("k", "t")
+def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (x, y) whose sets share enough shingles.
+
+    Texts are picked by a sketch of the ids, so only sets that are asked for are made and moved.
+    """
+    ids = scratch.keep(pairs.select(F.col("x").alias("k")).union(pairs.select(F.col("y").alias("k"))).distinct())
+    wanted = texts.sparkSession.sparkContext.broadcast(members(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingle_sets(batch))
+            found = list(shingle_sets(_only(batch, wanted.value)))
             yield pa.record_batch([pa.array([k for k, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["k", "s"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,34 +238,38 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(bool(len(x)) and shared >= need)
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep, pa.bool_())), batch.column("y").filter(pa.array(keep, pa.bool_()))], names=["x", "y"])
 
-    held = checkpointed(near.mapInArrow(sets, "k long, s binary"))
+    held = scratch.keep(texts.mapInArrow(sets, "k long, s binary"))
     both = pairs.join(held.select(F.col("k").alias("x"), F.col("s").alias("a")), "x").join(held.select(F.col("k").alias("y"), F.col("s").alias("b")), "y")
     return both.select("x", "y", "a", "b").mapInArrow(probe, "x long, y long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles and component_id (the least key reachable by links) for each row of docs."""
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"), F.col(text).alias("t"))
-    signed = checkpointed(_signatures(texts, _frequent(texts)))
-    classes = checkpointed(signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("k").alias("rep"), F.first("short").alias("short")))
-    entries = checkpointed(_entries(classes))
-
+def _links(entries: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (x, y) between classes; their components are those of all links."""
     # each list with its pivot: the class with the largest part of its entries shared
     weight = F.struct((F.col("dead") + F.col("pos")) / F.col("n"), "rep")
     lists = entries.groupBy("token").agg(F.min(F.struct(weight.alias("w"), *[F.col(c) for c in ("rep", "n", "pos", "dead", "last")])).alias("v"), F.count(F.lit(1)).alias("length")).filter("length > 1").select("token", "v.rep", "v.n", "v.pos", "v.dead", "v.last")
     met = entries.alias("a").join(lists.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") != F.col("b.rep")) & _may_link("a", "b"))
     ordered = [F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y")]
-    links = checkpointed(_linked(checkpointed(met.select(*ordered).distinct()), texts))
+    links = checkpointed(_linked(scratch.keep(met.select(*ordered).distinct()), texts, scratch))
 
     joined = components(links)
-    placed = entries.join(joined, entries["rep"] == joined["node"], "left").select(*entries.columns, F.coalesce("component", "rep").alias("part"))
-    placed = checkpointed(placed)
+    placed = scratch.keep(entries.join(joined, entries["rep"] == joined["node"], "left").select(*entries.columns, F.coalesce("component", "rep").alias("part")))
     per_part = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
     open_lists = per_part.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("m.part").alias("main"))
     apart = placed.join(open_lists, "token").filter("part != main").drop("main")
     rest = apart.alias("a").join(placed.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.part") != F.col("b.part")) & _may_link("a", "b"))
-    more = checkpointed(_linked(checkpointed(rest.select(*ordered).distinct()), texts))
-    groups = components(links.union(more))
+    return links.union(_linked(scratch.keep(rest.select(*ordered).distinct()), texts, scratch))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_shingles and component_id (the least key reachable by links) for each row of docs."""
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"), F.col(text).alias("t"))
+    facts = checkpointed(_facts(texts))
+    signed = facts.filter("token IS NULL").select("k", "n", "c1", "c2")
+    classes = checkpointed(signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("k").alias("rep")))
+    with Scratch(docs.sparkSession) as scratch:
+        short = scratch.keep(_short_lists(texts, classes.select("rep"), _frequent(facts, signed.count())))
+        groups = components(_links(scratch.keep(_entries(short)), texts, scratch))
 
     reps = classes.select("c1", "c2", F.col("n").alias("cn"), "rep")
     out = signed.select("k", "n", "c1", "c2").alias("s").join(reps.alias("r"), (F.col("s.c1") == F.col("r.c1")) & (F.col("s.c2") == F.col("r.c2")) & (F.col("s.n") == F.col("r.cn")), "left").select("k", F.col("s.n").alias("n"), "rep")

@@ -1,7 +1,7 @@
-"""A count-min sketch that tells what may occur twice, merged from partial sketches.
+"""A count-min sketch that tells what may occur, or occur twice, merged from partial sketches.
 
 The sketch has two rows of 2 ** bits cells that count to two.  Each task turns its entries into
-sparse blocks; blocks are merged in parallel; the driver gets the bits "two or more" only, which is
+sparse blocks; blocks are merged in parallel; the driver gets the bits "two or more" (or "one or more") only, which is
 2 * 2 ** bits / 8 bytes: bits follow the input up to MAX_BITS, so that is 64 MB at most.  A fuller
 sketch overestimates more and misses nothing.
 """
@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .bytehash import mixed
+
 MAX_BITS = 28
 BLOCKS = 64
 _SHIFT = np.uint64(31)
@@ -29,8 +31,8 @@ def _cells(names: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(names & mask).astype(np.int64), ((names >> _SHIFT) & mask).astype(np.int64)]
 
 
-def repeated_bits(rows: DataFrame, names_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> list[np.ndarray]:
-    """For both rows of the sketch, the packed bits of the cells with two entries or more.
+def repeated_bits(rows: DataFrame, names_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, least: int = 2) -> list[np.ndarray]:
+    """For both rows of the sketch, the packed bits of the cells with `least` (1 or 2) entries or more.
 
     names_of gives the entries of a batch as arrays of well mixed 64-bit numbers.
     """
@@ -56,7 +58,7 @@ def repeated_bits(rows: DataFrame, names_of: Callable[[pa.RecordBatch], Iterator
                 at = np.frombuffer(cells, dtype=np.uint32)
                 total[at] = np.minimum(total[at] + np.frombuffer(counts, dtype=np.uint8), 2)
         for part, total in sums.items():
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary())], names=["part", "bits"])
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["part", "bits"])
 
     made = rows.mapInArrow(partial, "part int, cells binary, counts binary").repartition(BLOCKS // 2, "part").mapInArrow(merge, "part int, bits binary")
     out = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(2)]
@@ -67,8 +69,21 @@ def repeated_bits(rows: DataFrame, names_of: Callable[[pa.RecordBatch], Iterator
 
 
 def maybe_repeated(tables: list[np.ndarray], names: np.ndarray) -> np.ndarray:
-    """True wherever the estimate is two or more."""
+    """True wherever the estimate reaches what the tables were made for."""
     keep = np.ones(len(names), dtype=bool)
     for table, cells in zip(tables, _cells(names, len(tables[0]).bit_length() + 2)):
         keep &= (table[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
     return keep
+
+
+def members(ids: DataFrame) -> list[np.ndarray]:
+    """Tables for maybe_member() from the one column of whole numbers of ids."""
+
+    def names(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+    return repeated_bits(ids, names, sketch_bits(ids.count()), 1)
+
+
+def maybe_member(tables: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+    return maybe_repeated(tables, mixed(ids.astype(np.int64).view(np.uint64)))
