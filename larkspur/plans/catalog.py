@@ -1,11 +1,301 @@
-"""The queries over the reference operators and their SQL."""
+"""The queries over the store's operators, on the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.functions import keys, text
+from larkspur.operators import compaction, kv, postings, recovery, search, vectors
+
+# Sample keywords of the queries.
+KEYWORD = "the station"
+PAGE_KEYWORD = "window harbor"
+TALK_KEYWORD = "hello water"
+PAGE_URL = "SELECT min(url) AS url FROM pages"
+CHECKPOINT, TORN_AT, TOP = 100, 5000, 20
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as postings (term, u_hash = doc_id, lsn, segment_id)."""
+    docs = _table(spark, sf_dir, "documents")
+    return text.exploded(docs, "text", "doc_id").select("term", F.col("doc_id").alias("u_hash"), F.col("doc_id").alias("lsn"), F.lit(0).cast("long").alias("segment_id"))
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as postings: key conv_id, version turn, segment turn modulo 4."""
+    rows = _table(spark, sf_dir, "conversations")
+    return text.exploded(rows, "text", "conv_id", "turn").select("term", F.col("conv_id").alias("u_hash"), F.col("turn").alias("lsn"), (F.col("turn") % 4).alias("segment_id"))
+
+
+def _talk_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("u_hash"), F.col("turn").alias("lsn"), "role", "text")
+
+
+def _page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    key = keys.url_key(F.col("url"))
+    return pages.select(F.col("page_id").alias("lsn"), F.lit("put").alias("op"), key.alias("u_hash"), keys.shard_of(key).alias("shard_id"), "url", F.col("html").alias("content"), F.lit(None).cast("string").alias("metadata"), F.lit(1).alias("type"), F.lit(0).cast("long").alias("ts"))
+
+
+def _event_wal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log: odd ids commit, even ids prepare; some commits are missing, one entry is torn."""
+    e = _table(spark, sf_dir, "events").filter(~((F.col("event_id") % 2 == 1) & (F.col("event_id") % 10 == 3)))
+    return e.select(
+        F.col("event_id").alias("pos"),
+        F.floor(F.col("event_id") / 2).cast("long").alias("lsn"),
+        (F.col("event_id") % 2 + 1).cast("byte").alias("state"),
+        F.col("user_id").alias("u_hash"),
+        (F.col("event_id") != TORN_AT).alias("crc_ok"),
+    )
+
+
+def _sql_terms(column: str) -> str:
+    """The terms of a column in DuckDB."""
+    return (
+        f"list_distinct(flatten(list_transform(list_filter(string_split_regex(regexp_replace(lower(coalesce({column}, '')), '[^a-z0-9가-힣ぁ-んァ-ヶ亜-熙\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 0), "
+        "lambda w: CASE WHEN length(w) < 2 OR regexp_full_match(w, '[0-9]+') THEN [w] ELSE list_concat(list_transform(range(1, length(w)), lambda i: substr(w, i, 2)), CASE WHEN length(w) > 2 THEN [w] ELSE [] END) END)))"
+    )
+
+
+def _sql_postings(table: str, body: str, *keep: str) -> str:
+    return f"SELECT {', '.join(keep)}, unnest({_sql_terms(body)}) AS term FROM {table}"
+
+
+def _sql_query(keyword: str) -> str:
+    return f"SELECT unnest({_sql_terms(f"'{keyword}'")}) AS term"
+
+
+CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        CATALOG[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+@_query(f"SELECT doc_id, term FROM ({_sql_postings('documents', 'text', 'doc_id')})")
+def tokenize_documents(spark, sf_dir):
+    return text.exploded(_table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@_query("SELECT doc_id, unnest(list_distinct(list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: length(w) > 1), lambda w: trim(lower(w), '.,! ')))) AS term FROM documents")
+def tokenize_split(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(text.split_terms(F.col("text"))).alias("term"))
+
+
+@_query("SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 0 AND w NOT IN ('a', 'an', 'the', 'is', 'are') AND (regexp_full_match(w, '[0-9]+') OR length(w) > 1)))) AS term FROM documents")
+def tokenize_ascii(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(text.ascii_terms(F.col("text"))).alias("term"))
+
+
+@_query(f"SELECT term, count(DISTINCT doc_id) AS df FROM ({_sql_postings('documents', 'text', 'doc_id')}) GROUP BY term")
+def term_document_frequency(spark, sf_dir):
+    return postings.frequencies(_documents(spark, sf_dir))
+
+
+@_query(f"SELECT term, count(DISTINCT conv_id) AS n_keys FROM ({_sql_postings('conversations', 'text', 'conv_id')}) GROUP BY term")
+def posting_list_sizes(spark, sf_dir):
+    return postings.nested(_talk(spark, sf_dir)).select("term", F.size("keys").cast("long").alias("n_keys"))
+
+
+@_query(f"SELECT DISTINCT doc_id FROM ({_sql_postings('documents', 'text', 'doc_id')}) WHERE term IN ({_sql_query(KEYWORD)})")
+def search_or(spark, sf_dir):
+    return search.hits(_documents(spark, sf_dir), KEYWORD).select(F.col("u_hash").alias("doc_id"))
+
+
+_RANKED = f"SELECT doc_id, count(DISTINCT term) AS score FROM ({_sql_postings('documents', 'text', 'doc_id')}) WHERE term IN ({_sql_query(KEYWORD)}) GROUP BY doc_id"
+
+
+@_query(_RANKED)
+def ranking_search(spark, sf_dir):
+    ranked = search.scores(_documents(spark, sf_dir), KEYWORD)
+    return ranked.select(F.col("u_hash").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id")
+
+
+@_query(f"{_RANKED} ORDER BY score DESC, doc_id LIMIT {TOP}")
+def ranking_search_topk(spark, sf_dir):
+    ranked = search.scores(_documents(spark, sf_dir), KEYWORD)
+    return ranked.select(F.col("u_hash").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(TOP)
+
+
+@_query(f"SELECT q.item_id, d.doc_id, count(*) AS score FROM (SELECT DISTINCT doc_id, term FROM ({_sql_postings('documents', 'text', 'doc_id')})) d JOIN (SELECT DISTINCT item_id, term FROM ({_sql_postings('benchmark', 'text', 'item_id')}) WHERE length(term) > 8) q USING (term) GROUP BY ALL")
+def ranking_search_many(spark, sf_dir):
+    """The long terms of every benchmark item as a query, in one join."""
+    items = text.exploded(_table(spark, sf_dir, "benchmark"), "text", "item_id").filter(F.length("term") > 8).distinct()
+    found = _documents(spark, sf_dir).select(F.col("u_hash").alias("doc_id"), "term").filter(F.length("term") > 8).distinct()
+    return items.join(found, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+
+
+@_query(f"SELECT DISTINCT p.url, p.page_id FROM pages p JOIN ({_sql_postings('pages', 'html', 'page_id')}) t USING (page_id) WHERE t.term IN ({_sql_query(PAGE_KEYWORD)})")
+def search_pages(spark, sf_dir):
+    log = _page_log(spark, sf_dir)
+    return search.search(postings.build(log), log, PAGE_KEYWORD).join(log.select("u_hash", F.col("lsn").alias("page_id")), "u_hash").select("url", "page_id")
+
+
+@_query(f"SELECT p.url, count(DISTINCT t.term) AS score FROM pages p JOIN ({_sql_postings('pages', 'html', 'page_id')}) t USING (page_id) WHERE t.term IN ({_sql_query(PAGE_KEYWORD)}) GROUP BY p.url")
+def ranking_search_pages(spark, sf_dir):
+    log = _page_log(spark, sf_dir)
+    return search.ranking_search(postings.build(log), log, PAGE_KEYWORD).select("url", "score")
+
+
+@_query("SELECT url, substr(sha256(url), 1, 32) AS u_hash, CAST('0x' || substr(sha256(url), 1, 2) AS INTEGER) AS shard_id FROM pages")
+def url_hash_shard(spark, sf_dir):
+    k = keys.url_key(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("url", k.alias("u_hash"), keys.shard_of(k).alias("shard_id"))
+
+
+@_query("SELECT substr(sha256(url), 1, 2) AS shard, count(*) AS n FROM pages GROUP BY 1")
+def shard_histogram(spark, sf_dir):
+    return _page_log(spark, sf_dir).groupBy(keys.shard_name(F.col("shard_id")).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT url, (list_reduce(list_transform(range(8, 0, -1), lambda i: CAST('0x' || substr(sha256(url), 2 * i - 1, 2) AS HUGEINT)), lambda x, y: x * 256 + y) % 1000000)::BIGINT AS bucket FROM pages")
+def url_bucket(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("url", keys.bucket_of(keys.url_key(F.col("url")), 1_000_000).alias("bucket"))
+
+
+@_query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def kv_latest(spark, sf_dir):
+    return kv.latest(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@_query(f"SELECT url, html AS content FROM pages WHERE url = ({PAGE_URL})")
+def kv_get(spark, sf_dir):
+    url = _table(spark, sf_dir, "pages").agg(F.min("url")).first()[0]
+    return kv.get(_page_log(spark, sf_dir), url).select("url", "content")
+
+
+@_query("SELECT p.url, p.page_id AS lsn FROM pages p WHERE p.page_id % 20 = 0")
+def kv_get_many(spark, sf_dir):
+    log = _page_log(spark, sf_dir)
+    return kv.get_many(log, log.filter(F.col("lsn") % 20 == 0).select("url")).select("url", "lsn")
+
+
+@_query("SELECT user_id, event_id FROM (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id) WHERE t <> 'error'")
+def kv_delete_visibility(spark, sf_dir):
+    """Keys whose last event isn't a tombstone."""
+    return kv.live_keys(_table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error")
+
+
+@_query(f"SELECT DISTINCT conv_id FROM ({_sql_postings('conversations', 'text', 'conv_id')}) WHERE term IN ({_sql_query(TALK_KEYWORD)})")
+def update_history_search(spark, sf_dir):
+    return search.hits(_talk(spark, sf_dir), TALK_KEYWORD).select(F.col("u_hash").alias("conv_id"))
+
+
+@_query(f"SELECT DISTINCT conv_id FROM ({_sql_postings('conversations', 'text', 'conv_id', 'turn')}) p JOIN (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id) l USING (conv_id, turn) WHERE term IN ({_sql_query(TALK_KEYWORD)})")
+def update_current_search(spark, sf_dir):
+    now = search.current(_talk(spark, sf_dir), _talk_log(spark, sf_dir), F.lit(False))
+    return search.hits(now, TALK_KEYWORD).select(F.col("u_hash").alias("conv_id"))
+
+
+@_query(f"SELECT conv_id, count(*) AS score FROM (SELECT DISTINCT conv_id, term, turn % 4 AS s FROM ({_sql_postings('conversations', 'text', 'conv_id', 'turn')}) WHERE term IN ({_sql_query(TALK_KEYWORD)})) GROUP BY conv_id")
+def rank_per_segment(spark, sf_dir):
+    return search.scores(_talk(spark, sf_dir), TALK_KEYWORD, per_segment=True).select(F.col("u_hash").alias("conv_id"), "score")
+
+
+@_query(f"SELECT term, conv_id, max(turn) AS lsn FROM ({_sql_postings('conversations', 'text', 'conv_id', 'turn')}) WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING arg_max(role, turn) <> 'user') GROUP BY ALL")
+def compact_gc(spark, sf_dir):
+    """One segment without conversations that end on a user's turn."""
+    live = kv.live_keys(_talk_log(spark, sf_dir), deleted=F.col("role") == "user")
+    return compaction.compact(_talk(spark, sf_dir), live).select("term", F.col("u_hash").alias("conv_id"), "lsn")
+
+
+@_query("SELECT CASE WHEN count(DISTINCT turn % 4) >= 10 THEN true ELSE false END AS due, count(DISTINCT turn % 4) AS segments FROM conversations")
+def compaction_due(spark, sf_dir):
+    n = _talk(spark, sf_dir).agg(F.countDistinct("segment_id").alias("segments"))
+    return n.select((F.col("segments") >= compaction.SEGMENTS).alias("due"), "segments")
+
+
+_WAL = f"SELECT event_id AS pos, event_id // 2 AS lsn, event_id % 2 + 1 AS state, user_id AS u_hash, event_id <> {TORN_AT} AS crc_ok FROM events WHERE NOT (event_id % 2 = 1 AND event_id % 10 = 3)"
+_VALID = f"SELECT * FROM ({_WAL}) WHERE pos < coalesce((SELECT min(pos) FROM ({_WAL}) WHERE NOT crc_ok), 9223372036854775807)"
+
+
+@_query(f"SELECT u_hash AS user_id, max(pos) AS pos, arg_max(lsn, pos) AS lsn FROM ({_VALID}) WHERE state = 1 AND lsn > {CHECKPOINT} AND lsn IN (SELECT lsn FROM ({_VALID}) WHERE state = 2) GROUP BY 1")
+def wal_redo(spark, sf_dir):
+    return recovery.redo(_event_wal(spark, sf_dir), CHECKPOINT).select(F.col("u_hash").alias("user_id"), "pos", "lsn")
+
+
+@_query(f"SELECT pos, lsn, CAST(state AS INTEGER) AS state FROM ({_VALID})")
+def wal_torn_tail(spark, sf_dir):
+    return recovery.valid_prefix(_event_wal(spark, sf_dir)).select("pos", "lsn", F.col("state").cast("int").alias("state"))
+
+
+@_query(f"SELECT CASE WHEN arg_max(crc_ok, pos) THEN arg_max(lsn, pos) ELSE 0 END AS lsn FROM ({_WAL})")
+def wal_latest_lsn(spark, sf_dir):
+    return recovery.latest_lsn(_event_wal(spark, sf_dir))
+
+
+@_query(f"SELECT term, url FROM (SELECT p.url, unnest({_sql_terms('p.html')}) AS term FROM pages p)")
+def full_rebuild(spark, sf_dir):
+    values, index = recovery.rebuild(_page_log(spark, sf_dir))
+    return index.join(values.select("u_hash", "url"), "u_hash").select("term", "url")
+
+
+@_query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
+def metadata_json_get(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", keys.json_field(F.col("props"), "k", F.lit("")).alias("k"))
+
+
+@_query("SELECT doc_id, md5(text) AS checksum FROM documents")
+def checksum_md5(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", keys.checksum(F.col("text")).alias("checksum"))
+
+
+@_query(None)
+def checksum_crc32(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", keys.crc(F.col("text")).alias("crc"))
+
+
+_QUERY_VECTOR = "SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)"
+_SIMILAR = f"SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS s FROM embeddings, ({_QUERY_VECTOR})"
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    first = rows.orderBy("vec_id").select("embedding").first()
+    return vectors.semantic_search(rows, first[0] if first else [], "vec_id")
+
+
+def _rounded(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+@_query(f"SELECT vec_id, round(s, 6) AS similarity FROM ({_SIMILAR}) WHERE s IS NOT NULL")
+def semantic_search(spark, sf_dir):
+    return _similar(spark, sf_dir).select("vec_id", _rounded(F.col("similarity")).alias("similarity"))
+
+
+@_query(
+    f"WITH k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM ({_RANKED})), v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(s, 6) DESC, vec_id) AS rn FROM ({_SIMILAR}) WHERE s IS NOT NULL) "
+    f"SELECT id AS doc_id, round(sum(1.0::DOUBLE / ({vectors.RRF_K} + rn)), 6) AS rrf FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY id"
+)
+def hybrid_rrf(spark, sf_dir):
+    words = search.scores(_documents(spark, sf_dir), KEYWORD).select(F.col("u_hash").alias("doc_id"), "score")
+    near = _similar(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), _rounded(F.col("similarity")).alias("similarity"))
+    parts = [vectors.reciprocal_ranks(words, "doc_id", [F.desc("score"), "doc_id"]), vectors.reciprocal_ranks(near, "doc_id", [F.desc("similarity"), "doc_id"])]
+    return vectors.fuse(parts, "doc_id").select("doc_id", _rounded(F.col("rrf")).alias("rrf"))
+
+
+@_query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
+def vector_pending(spark, sf_dir):
+    return vectors.pending(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "embeddings"), "doc_id", "vec_id").select("doc_id")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in CATALOG.items() if sql}
