@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.keys import is_filled, json_field, shard_of, url_key
-from larkspur.schemas import RECORDS
 
 PUT, DELETE = "put", "delete"
 
@@ -22,31 +21,23 @@ def is_valid(url: Column, content: Column, metadata: Column) -> Column:
     return url.isNotNull() & content.isNotNull() & described
 
 
-def puts(rows: DataFrame, lsn: Column, ts: Column | None = None) -> DataFrame:
-    """Change-log rows from (url, content, metadata).
+def changes(rows: DataFrame, lsn: Column, ts: Column | None = None) -> DataFrame:
+    """Change-log rows from (url, content[, metadata, type, op]); tombstones carry no content.
 
     Metadata is JSON text; the log's own keys `u` and `t` live in columns, so the caller's object is kept as it is.
     """
-    columns = rows.columns
-    metadata = F.col("metadata") if "metadata" in columns else F.lit(None).cast("string")
-    kind = F.col("type") if "type" in columns else F.lit(1)
-    out = rows.select(
+    given = rows.columns
+    op = F.coalesce(F.col("op"), F.lit(PUT)) if "op" in given else F.lit(PUT)
+    metadata = F.col("metadata") if "metadata" in given else F.lit(None).cast("string")
+    kind = F.coalesce(F.col("type"), F.lit(1)) if "type" in given else F.lit(1)
+    return rows.select(
         lsn.cast("long").alias("lsn"),
-        F.lit(PUT).alias("op"),
+        op.alias("op"),
         url_key(F.col("url")).alias("u_hash"),
         shard_of(url_key(F.col("url"))).alias("shard_id"),
         "url",
-        "content",
-        metadata.alias("metadata"),
+        F.when(op == PUT, F.col("content")).alias("content"),
+        F.when(op == PUT, metadata).alias("metadata"),
         kind.cast("int").alias("type"),
         (F.unix_timestamp() if ts is None else ts).cast("long").alias("ts"),
     )
-    return out.select(*RECORDS.fieldNames())
-
-
-def deletes(rows: DataFrame, lsn: Column, ts: Column | None = None) -> DataFrame:
-    """Tombstones for rows with a url."""
-    empty = rows.select("url").withColumn("content", F.lit(None).cast("string"))
-    if "_lsn" in rows.columns:
-        empty = rows.select("url", "_lsn").withColumn("content", F.lit(None).cast("string"))
-    return puts(empty, lsn, ts).withColumn("op", F.lit(DELETE))
