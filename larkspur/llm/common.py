@@ -94,11 +94,11 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, rows_per_par
 
     n = df.count()
     parts = max(8, n // rows_per_part)
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_part").orderBy(*order)
-    ranked = dealt.withColumn("_k", F.row_number().over(inside) - 1)
-    joined = ranked.join(starts, ranked[group].eqNullSafe(starts["_g"]) & (ranked["_part"] == starts["_p"]))
-    return joined.withColumn(out, (F.col("_start") + F.col("_k")).cast("long")).drop("_part", "_k", "_g", "_p", "_start")
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    counts = dealt.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(group, "__part").orderBy(*order)
+    ranked = dealt.withColumn("__k", F.row_number().over(inside) - 1)
+    joined = ranked.join(starts, ranked[group].eqNullSafe(starts["__g"]) & (ranked["__part"] == starts["__p"]))
+    return joined.withColumn(out, (F.col("__start") + F.col("__k")).cast("long")).drop("__part", "__k", "__g", "__p", "__start")

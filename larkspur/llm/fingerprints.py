@@ -83,21 +83,21 @@ def with_next(docs: DataFrame, columns: dict[str, Column], then: dict[str, Colum
     def numbers(values: list[int]) -> Column:  # folded to one literal
         return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    v = F.col("_v")
+    v = F.col("__v")
     block = F.size(F.filter(numbers(bounds[::side]), lambda b: b <= v)) - 1
-    within = F.size(F.filter(F.slice(numbers(bounds), F.col("_block") * side + 1, side), lambda b: b <= v)) - 1
-    placed = docs.withColumn("_v", value).withColumn("_block", block).withColumn("_at", F.col("_block") * side + within)
-    own = F.struct(F.col("_at").alias("range"), F.lit(0).alias("extra"))
-    copy = F.struct(F.pmod(F.col("_at") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("extra"))
-    first = F.get(numbers(bounds), F.col("_at")) == v
-    placed = placed.withColumn("_to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
-    placed = placed.withColumns({"_range": F.col("_to.range"), "_extra": F.col("_to.extra")})  # plain columns, so both windows share one exchange
-    order = Window.partitionBy("_range").orderBy("_extra", "_v")
-    out = placed.drop("_block", "_at", "_to").withColumns({f"next_{c}": F.lead(e).over(order) for c, e in columns.items()})
+    within = F.size(F.filter(F.slice(numbers(bounds), F.col("__block") * side + 1, side), lambda b: b <= v)) - 1
+    placed = docs.withColumn("__v", value).withColumn("__block", block).withColumn("__at", F.col("__block") * side + within)
+    own = F.struct(F.col("__at").alias("range"), F.lit(0).alias("extra"))
+    copy = F.struct(F.pmod(F.col("__at") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("extra"))
+    first = F.get(numbers(bounds), F.col("__at")) == v
+    placed = placed.withColumn("__to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
+    placed = placed.withColumns({"__range": F.col("__to.range"), "__extra": F.col("__to.extra")})  # plain columns, so both windows share one exchange
+    order = Window.partitionBy("__range").orderBy("__extra", "__v")
+    out = placed.drop("__block", "__at", "__to").withColumns({f"next_{c}": F.lead(e).over(order) for c, e in columns.items()})
     if then:
         out = out.withColumns(then)
         out = out.withColumns({f"next_{c}": F.lead(c).over(order) for c in then})
-    return out.filter(F.col("_extra") == 0).drop("_range", "_extra", "_v")
+    return out.filter(F.col("__extra") == 0).drop("__range", "__extra", "__v")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K) -> DataFrame:

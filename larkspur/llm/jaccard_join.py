@@ -16,7 +16,7 @@ merged twice.  First each list is merged with one pivot, the class of which most
 that makes as many pairs as list entries, and joins a group of near copies to a few components.
 Then, for lists that still hold several components, entries outside the list's main component
 meet all entries of others: that finds every link left, without the pairs inside a component.
-In both, a pair passes only if the shingles it is known not to share leave room for T.
+In both, a pair passes only if it shares as many merged shingles as T needs (the count of the merge).
 
 Nothing is capped, and no list, component or link is collected: hot lists are pre-aggregated for
 their pivot and joined by adaptive skew joins.
@@ -46,6 +46,10 @@ NUM, DEN = 4, 5
 #: A shingle in more than this part of the documents is frequent.  At most (mean set size) / FREQUENT
 #: shingles are, so their table does not grow with the number of documents.
 FREQUENT = 0.001
+#: Shingles that a task counts together, which bounds its memory.
+COUNTED = 2_000_000
+#: Rows of two sets each that reach a Python worker together.
+PROBED = 500
 #: List entries to expect of a document; sizes the sketch and decides nothing else.
 ENTRIES_PER_DOCUMENT = 128
 _NULL = -(2**63)
@@ -90,21 +94,33 @@ def needed(m: Column, n: Column) -> Column:
 def _facts(texts: DataFrame) -> DataFrame:
     """In one pass: k, n, c1, c2 (the class) of each row, and token, count of shingles that are frequent in a batch, equal sets counted once."""
 
+    names = ["k", "n", "c1", "c2", "token", "count"]
+
+    def counted(sets: dict, rows: list) -> Iterator[pa.RecordBatch]:
+        columns = [pa.array(np.array(x, dtype=np.int64)) for x in zip(*rows)]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), pa.int64())] * 2], names=names)
+        if sets:
+            tokens = np.concatenate(list(sets.values()))
+            tokens.sort()
+            first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            n = np.diff(np.append(first, len(tokens)))
+            keep = n >= max(2, FREQUENT * len(rows))
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(int(keep.sum()), pa.int64())] * 4, pa.array(tokens[first[keep]]), pa.array(n[keep].astype(np.int64))], names=names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, rows = {}, []
+            sets, rows, size = {}, [], 0
             for k, one in shingle_sets(batch):
                 name = _class_of(one)
                 rows.append((k, len(one), *name))
-                if len(one):
+                if len(one) and name not in sets:
                     sets[name] = one
+                    size += len(one)
+                if size > COUNTED:
+                    yield from counted(sets, rows)
+                    sets, rows, size = {}, [], 0
             if rows:
-                columns = [pa.array(np.array(x, dtype=np.int64)) for x in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), pa.int64())] * 2], names=["k", "n", "c1", "c2", "token", "count"])
-            if sets:
-                tokens, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                keep = n >= max(2, FREQUENT * batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(int(keep.sum()), pa.int64())] * 4, pa.array(tokens[keep]), pa.array(n[keep].astype(np.int64))], names=["k", "n", "c1", "c2", "token", "count"])
+                yield from counted(sets, rows)
 
     return texts.mapInArrow(read, "k long, n long, c1 long, c2 long, token long, count long")
 
@@ -161,51 +177,57 @@ def _signed(ids: list[int], sizes: list[int], short: list[np.ndarray]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x.astype(np.int64).tobytes() for x in short], pa.binary())], names=["rep", "n", "short"])
 
 
-def _entries(classes: DataFrame) -> DataFrame:
-    """List entries that another class may share: token, rep, n, pos (entries before this one), dead (entries after it that no other class has), last (the largest order value)."""
-    session = classes.sparkSession
+def _entries(short: DataFrame) -> DataFrame:
+    """List entries that another class may share: token, rep, n, dead (merged shingles of the set that no other class has among its own), last (the largest order value merged)."""
+    session = short.sparkSession
 
     def names(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        body = b"".join(x for x in batch.column("short").to_pylist())
+        body = b"".join(batch.column(0).to_pylist())
         if body:
             yield mixed(np.frombuffer(body, dtype=np.uint64))
 
-    bits = session.sparkContext.broadcast(repeated_bits(classes.select("short"), names, sketch_bits(ENTRIES_PER_DOCUMENT * classes.count())))
+    bits = session.sparkContext.broadcast(repeated_bits(short.select("short"), names, sketch_bits(ENTRIES_PER_DOCUMENT * short.count())))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for rep, n, short in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "short"))):
-                order = np.frombuffer(short, dtype=np.int64)
-                alive = maybe_repeated(bits.value, mixed(order.view(np.uint64)))
-                at = np.flatnonzero(alive)
-                if not len(at):
-                    continue
-                dead_after = (len(order) - len(at)) - np.cumsum(~alive)[at]
-                for column, values in zip(out, (order[at], np.full(len(at), rep), np.full(len(at), n), at, dead_after, np.full(len(at), order[-1]))):
-                    column.append(values.astype(np.int64))
-                if sum(map(len, out[0][-64:])) > 200_000 or len(out[0]) >= 500:
-                    yield _listed(out)
-                    out = [[], [], [], [], [], []]
-            if out[0]:
-                yield _listed(out)
+            rows, size = [], 0
+            for rep, n, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                order = np.frombuffer(held, dtype=np.int64)
+                alive = order[maybe_repeated(bits.value, mixed(order.view(np.uint64)))]
+                if len(alive):
+                    rows.append((alive, rep, n, len(order) - len(alive), order[-1]))
+                    size += len(alive)
+                if size > 100_000:
+                    yield _listed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _listed(rows)
+
+    return short.select("rep", "n", "short").mapInArrow(entries, "token long, rep long, n long, dead int, last long")
 
-    return classes.select("rep", "n", "short").mapInArrow(entries, "token long, rep long, n int, pos int, dead int, last long")
 
+def _listed(rows: list[tuple]) -> pa.RecordBatch:
+    sizes = [len(r[0]) for r in rows]
+    columns = [pa.array(np.concatenate([r[0] for r in rows]))]
+    for i, kind in ((1, np.int64), (2, np.int64), (3, np.int32), (4, np.int64)):
+        columns.append(pa.array(np.repeat(np.array([r[i] for r in rows], dtype=kind), sizes)))
+    return pa.RecordBatch.from_arrays(columns, names=["token", "rep", "n", "dead", "last"])
 
-def _listed(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-    columns = [np.concatenate(x) for x in out]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-    return pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=["token", "rep", "n", "pos", "dead", "last"])
 
+def _met(a: DataFrame, b: DataFrame, more: Column) -> DataFrame:
+    """Pairs (x, y) from entries of common lists that share as many merged shingles as a link needs.
 
-def _may_link(a: str, b: str) -> Column:
-    """False for entries of one list at which no linked pair first meets."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    need = needed(c(a, "n"), c(b, "n"))
-    # the side whose merged lists end first has all its unshared entries outside the other set
-    room = F.when(c(a, "last") <= c(b, "last"), c(a, "n") - c(a, "pos") - c(a, "dead")).otherwise(c(b, "n") - c(b, "pos") - c(b, "dead"))
-    return (F.least(c(a, "n"), c(b, "n")) >= need) & (c(a, "n") - c(a, "pos") >= need) & (c(b, "n") - c(b, "pos") >= need) & (room >= need)
+    Of two sets the one whose merged shingles end first has all of them below the other's end, so
+    those it does not share there it does not share at all.
+    """
+    a, b = a.alias("a"), b.alias("b")
+    need = needed(F.col("a.n"), F.col("b.n"))
+    ends_first = F.col("a.last") <= F.col("b.last")
+    n, dead = (F.when(ends_first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")) for c in ("n", "dead"))
+    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & more & (F.least("a.n", "b.n") >= need) & (n - dead >= need))
+    merged = n - F.floor((NUM * n + (DEN - 1)) / DEN) + 1
+    rows = joined.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"), (need - n + merged).alias("shared_needed"))
+    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("shared_needed").alias("shared_needed")).filter(F.col("shared") >= F.col("shared_needed")).select("x", "y")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -239,26 +261,33 @@ def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep, pa.bool_())), batch.column("y").filter(pa.array(keep, pa.bool_()))], names=["x", "y"])
 
     held = scratch.keep(texts.mapInArrow(sets, "k long, s binary"))
+    session = texts.sparkSession
     both = pairs.join(held.select(F.col("k").alias("x"), F.col("s").alias("a")), "x").join(held.select(F.col("k").alias("y"), F.col("s").alias("b")), "y")
-    return both.select("x", "y", "a", "b").mapInArrow(probe, "x long, y long").distinct()
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = session.conf.get(size)
+    session.conf.set(size, str(PROBED))
+    try:
+        return scratch.keep(both.select("x", "y", "a", "b").mapInArrow(probe, "x long, y long").distinct())
+    finally:
+        session.conf.set(size, before)
 
 
 def _links(entries: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (x, y) between classes; their components are those of all links."""
-    # each list with its pivot: the class with the largest part of its entries shared
-    weight = F.struct((F.col("dead") + F.col("pos")) / F.col("n"), "rep")
-    lists = entries.groupBy("token").agg(F.min(F.struct(weight.alias("w"), *[F.col(c) for c in ("rep", "n", "pos", "dead", "last")])).alias("v"), F.count(F.lit(1)).alias("length")).filter("length > 1").select("token", "v.rep", "v.n", "v.pos", "v.dead", "v.last")
-    met = entries.alias("a").join(lists.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") != F.col("b.rep")) & _may_link("a", "b"))
-    ordered = [F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y")]
-    links = checkpointed(_linked(scratch.keep(met.select(*ordered).distinct()), texts, scratch))
+    # each list with its pivot: the class with the largest part of its merged shingles shared
+    columns = ["rep", "n", "dead", "last"]
+    weight = F.struct((F.col("dead") / F.col("n")).alias("lost"), *columns)
+    lists = entries.groupBy("token").agg(F.min(weight).alias("v"), F.count(F.lit(1)).alias("length")).filter("length > 1").select("token", *[F.col(f"v.{c}").alias(c) for c in columns])
+    links = _linked(scratch.keep(_met(entries, lists, F.col("a.rep") != F.col("b.rep"))), texts, scratch)
 
     joined = components(links)
     placed = scratch.keep(entries.join(joined, entries["rep"] == joined["node"], "left").select(*entries.columns, F.coalesce("component", "rep").alias("part")))
     per_part = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
-    open_lists = per_part.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("m.part").alias("main"))
-    apart = placed.join(open_lists, "token").filter("part != main").drop("main")
-    rest = apart.alias("a").join(placed.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.part") != F.col("b.part")) & _may_link("a", "b"))
-    return links.union(_linked(scratch.keep(rest.select(*ordered).distinct()), texts, scratch))
+    mains = per_part.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("m.part").alias("main"))
+    open_lists = scratch.keep(placed.join(mains, "token"))
+    # pairs outside the main part are met from one side only
+    apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
+    return links.union(_linked(scratch.keep(_met(open_lists.filter("part != main"), open_lists, apart)), texts, scratch))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

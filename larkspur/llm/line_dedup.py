@@ -11,7 +11,7 @@ splits skewed partitions.
 
 Cases: a null text stays null and has no lines; texts of fewer than three lines are left as they
 are; windows of blank lines only are no windows; rows that share id and text are one document and
-fare alike; an empty table gives an empty result; other columns are carried.
+fare alike; an empty table gives an empty result; other columns are carried (names that begin with two underscores are ours).
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def _let(value, body):
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with `text` cleaned, and n_lines and n_removed added."""
     lines = F.split(F.col(text), "\n")
-    clash = f"_{key}"
+    clash = f"__{key}"
 
     def windows(parts):
         one = F.transform(parts, lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.trim(x) == "").alias("blank")))
@@ -48,18 +48,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     by_doc = Window.partitionBy("k", "t").orderBy("pos")
     later = later.withColumn("run", F.sum(F.when(F.col("pos") - F.lag("pos").over(by_doc) <= WINDOW, 0).otherwise(1)).over(by_doc))
     runs = later.groupBy("k", "t", "run").agg(F.min("pos").alias("start"), (F.max("pos") + WINDOW).alias("end"))
-    runs = runs.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs")).select(F.col("k").alias(clash), F.col("t").alias("_t"), "_runs")
-    found = docs.withColumn("_h", F.xxhash64(text))
-    found = found.join(runs, found[key].eqNullSafe(runs[clash]) & (found["_h"] == runs["_t"]), "left")
+    runs = runs.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__runs")).select(F.col("k").alias(clash), F.col("t").alias("__t"), "__runs")
+    found = docs.withColumn("__h", F.xxhash64(text))
+    found = found.join(runs, found[key].eqNullSafe(runs[clash]) & (found["__h"] == runs["__t"]), "left")
 
     def kept(parts):
-        n, r = F.size(parts), F.col("_runs")
+        n, r = F.size(parts), F.col("__runs")
         begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(r, k - 1)["end"])
         stop = lambda k: F.when(k == F.size(r), n).otherwise(F.get(r, k)["start"])
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(r)), lambda k: F.slice(parts, begin(k) + 1, stop(k) - begin(k))))
 
-    cleaned = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join(_let(lines, kept), "\n"))
-    gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0)).cast("long")
+    cleaned = F.when(F.col("__runs").isNull(), F.col(text)).otherwise(F.array_join(_let(lines, kept), "\n"))
+    gone = F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0)).cast("long")
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    out = found.withColumn("_n_lines", n_lines).withColumn("_gone", gone).withColumn("_cleaned", cleaned)
-    return out.select(*[F.col("_cleaned").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], F.col("_n_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))
+    out = found.withColumn("__n_lines", n_lines).withColumn("__gone", gone).withColumn("__cleaned", cleaned)
+    return out.select(*[F.col("__cleaned").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], F.col("__n_lines").alias("n_lines"), F.col("__gone").alias("n_removed"))

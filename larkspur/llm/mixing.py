@@ -59,27 +59,28 @@ def mix(docs: DataFrame, weigh, budget_share: float = 1.0, max_epochs: float = 4
 
     `weigh` maps the control table (source, source_size) to one with a column weight.
     """
+    docs = docs.drop("_size", "_source_size", "_target", "_whole", "_part")
     order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    rows = docs.withColumn("_size", word_count(F.col(text))).withColumn("_order", order)
-    rows = rows.withColumn("_range", F.conv(F.substring("_order", 1, DIGITS), 16, 10).cast("int"))
-    ranges = checkpointed(rows.groupBy(F.col(source).alias("source"), "_range").agg(F.sum("_size").alias("bytes")))
+    rows = docs.withColumn("_size", word_count(F.col(text))).withColumn("__order", order)
+    rows = rows.withColumn("__range", F.conv(F.substring("__order", 1, DIGITS), 16, 10).cast("int"))
+    ranges = checkpointed(rows.groupBy(F.col(source).alias("source"), "__range").agg(F.sum("_size").alias("bytes")))
     sources = ranges.groupBy("source").agg(F.sum("bytes").alias("source_size"))
     plan = water_fill(weigh(sources), budget_share, max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = checkpointed(plan.withColumn("rest", F.floor("target") - F.col("whole") * F.col("source_size")))
-    upto = ranges.withColumn("before", F.coalesce(F.sum("bytes").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = ranges.withColumn("before", F.coalesce(F.sum("bytes").over(Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     a, b = plan.alias("a"), upto.alias("b")
     # the last range that begins before the rest is used up
     cut = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("b.before") < F.col("a.rest")), "left")
-    cut = cut.groupBy(F.col("a.source").alias("_s"), F.col("a.source_size").alias("_source_size"), F.col("a.target").alias("_target"), F.col("a.whole").alias("_whole")).agg(
-        F.max(F.struct(F.col("b._range").alias("at"), (F.col("a.rest") - F.col("b.before")).alias("left"))).alias("_cut")
+    cut = cut.groupBy(F.col("a.source").alias("__s"), F.col("a.source_size").alias("_source_size"), F.col("a.target").alias("_target"), F.col("a.whole").alias("_whole")).agg(
+        F.max(F.struct(F.col("b.__range").alias("at"), (F.col("a.rest") - F.col("b.before")).alias("left"))).alias("__cut")
     )
-    rows = rows.join(cut, rows[source].eqNullSafe(cut["_s"])).withColumn("_at", F.coalesce("_cut.at", F.lit(-1)))
-    inside = rows.filter(F.col("_range") == F.col("_at"))
-    seen = Window.partitionBy("_s").orderBy("_order", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("_cut.left") - F.coalesce(F.sum("_size").over(seen), F.lit(0)))))
-    outside = rows.filter(F.col("_range") != F.col("_at")).withColumn("_part", F.when(F.col("_range") < F.col("_at"), F.col("_size")).otherwise(0))
-    return outside.unionByName(inside).withColumn("_part", F.col("_part").cast("long")).drop("_order", "_range", "_s", "_cut", "_at")
+    rows = rows.join(cut, rows[source].eqNullSafe(cut["__s"])).withColumn("__at", F.coalesce("__cut.at", F.lit(-1)))
+    inside = rows.filter(F.col("__range") == F.col("__at"))
+    seen = Window.partitionBy("__s").orderBy("__order", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("__cut.left") - F.coalesce(F.sum("_size").over(seen), F.lit(0)))))
+    outside = rows.filter(F.col("__range") != F.col("__at")).withColumn("_part", F.when(F.col("__range") < F.col("__at"), F.col("_size")).otherwise(0))
+    return outside.unionByName(inside).withColumn("_part", F.col("_part").cast("long")).drop("__order", "__range", "__s", "__cut", "__at")
 
 
 def taken() -> Column:
@@ -92,7 +93,7 @@ def repeated(mixed: DataFrame, columns: list[str], text: str = "text", n_chars:
     full = F.when(F.col("_size") > 0, full).otherwise(F.array().cast("array<string>"))
     some = F.array_join(F.slice(words_of(F.col(text)), 1, F.col("_part").cast("int")), " ")
     texts = F.concat(full, F.when((F.col("_part") > 0) & (F.col("_part") < F.col("_size")), F.array(some)).otherwise(F.array().cast("array<string>")))
-    out = mixed.withColumn("_text", F.explode(texts)).withColumn(text, F.col("_text"))
+    out = mixed.withColumn("__text", F.explode(texts)).withColumn(text, F.col("__text"))
     if n_chars in columns:
         out = out.withColumn(n_chars, F.length(text).cast("long"))
     return out.select(*columns)

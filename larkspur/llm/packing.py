@@ -272,7 +272,7 @@ def pack(parts: DataFrame, order: list[str], length: str = "length", capacity: i
     """
     counts = {r[0]: r[1] for r in parts.groupBy(length).count().collect()}
     table = slots(pack_lengths(counts, capacity))
-    ranked = numbered(parts, length, order, "_rank")
+    ranked = numbered(parts, length, order, "__rank")
     held = parts.sparkSession.sparkContext.broadcast(table)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
     columns = parts.columns
@@ -281,7 +281,7 @@ def pack(parts: DataFrame, order: list[str], length: str = "length", capacity: i
         t = held.value
         names = t["length"].astype(np.uint64) << np.uint64(48) | t["first"].astype(np.uint64)
         for batch in batches:
-            rank = batch.column("_rank").to_numpy()
+            rank = batch.column("__rank").to_numpy()
             name = batch.column(length).to_numpy().astype(np.uint64) << np.uint64(48) | rank.astype(np.uint64)
             at = np.searchsorted(names, name, side="right") - 1
             sequence = t["sequence"][at] + rank - t["first"][at]
