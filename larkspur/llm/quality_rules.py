@@ -30,10 +30,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 REPEAT = 3
 
-#: Rows the forest is fitted on, rows and number of its trees, and what part of good documents the threshold may lose.
+#: Rows the forest is fitted on; rows and number of its trees (small ones, so that alike anomalies do not hide each other); what part of good documents the threshold may lose.
 SAMPLE = 8192
-TREE_ROWS = 256
-TREES = 128
+TREE_ROWS = 32
+TREES = 200
 MAX_LOSS = 0.005
 #: Part of good rows beyond each end of a ratio's ordinary range.
 TAIL = 0.001
