@@ -169,13 +169,14 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", margin: float = MARGIN) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and ambiguous."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast names classes, which executors may not have
+    held = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)
     plain = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")])
     at = plain.columns.index(text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = Model(**held.value) if held.value else None
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))
             langs, scores, unclear = [], [], []

@@ -57,6 +57,12 @@ class Network:
         self.out = rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
         self.base = np.zeros(1, dtype=np.float32)
 
+    @classmethod
+    def of(cls, parameters: list[np.ndarray]) -> Network:
+        net = cls.__new__(cls)
+        net.embed, net.filters, net.bias, net.out, net.base = parameters
+        return net
+
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.bias, self.out, self.base]
 
@@ -181,11 +187,12 @@ def scored(docs: DataFrame, model: Network | float, text: str = "text") -> DataF
     """docs with score (0 to 1) and predicted (0 or 1)."""
     plain = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
     at = plain.columns.index(text)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast names classes, which executors may not have
+    held = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, float) else model.parameters())
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = held.value if isinstance(held.value, float) else Network.of(held.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))
             out = np.full(batch.num_rows, model, dtype=np.float64) if isinstance(model, float) else np.zeros(batch.num_rows)
