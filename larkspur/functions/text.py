@@ -32,6 +32,26 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, cut)))
 
 
+def found_terms(text: Column, words: list[str]) -> Column:
+    """For each of some terms, in an array, whether terms(text) has it, without cutting the text up.
+
+    A term of two characters with a letter is there if the cleaned text contains it; any other term
+    is there as a whole word; two digits are there also inside a word that isn't a number.
+    """
+    # every separator, white space included, becomes one kind of blank
+    clean = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS.replace(r"\s", ""), " "), F.lit(" "))
+
+    def has(c: Column, t: str) -> Column:
+        whole = F.contains(c, F.lit(f" {t} "))
+        if len(t) != 2:
+            return whole
+        return whole | c.rlike(f"[^0-9 ][^ ]*{t}|{t}[^ ]*[^0-9 ]") if t.isdigit() else F.contains(c, F.lit(t))
+
+    if not words:
+        return F.array().cast("array<boolean>")
+    return F.transform(F.array(clean), lambda c: F.array(*[has(c, t) for t in words]))[0]  # cleaned once
+
+
 def split_terms(text: Column) -> Column:
     """The first tokenizer: lower-cased words of two characters or more, trimmed."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.length(w) > 1)

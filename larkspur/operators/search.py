@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import query_terms, terms
+from larkspur.functions.text import found_terms, query_terms, terms
 
 from . import kv
 
@@ -47,6 +47,16 @@ def many_scores(postings: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(found, "term").groupBy("qid", "u_hash").agg(F.count(F.lit(1)).alias("score"))
 
 
+def scan_scores(docs: DataFrame, keyword: str, text: str = "content", *keep: str) -> DataFrame:
+    """Scores of texts that have no index: one scan, each row judged by itself, nothing shuffled or cut into terms.
+
+    Returns the columns `keep` and score for rows with any of the query's terms.
+    """
+    found = found_terms(F.col(text), query_terms(docs.sparkSession, keyword))
+    score = F.size(F.filter(found, lambda x: x)).cast("long")
+    return docs.select(*keep, score.alias("score")).filter(F.col("score") > 0)
+
+
 def search(postings: DataFrame, log: DataFrame, keyword: str) -> DataFrame:
     """Live documents with any of the query's terms, in no order."""
     found = hits(postings, keyword)

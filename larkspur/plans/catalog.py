@@ -28,6 +28,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.exploded(docs, "text", "doc_id").select("term", F.col("doc_id").alias("u_hash"), F.col("doc_id").alias("lsn"), F.lit(0).cast("long").alias("segment_id"))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.scan_scores(_table(spark, sf_dir, "documents"), KEYWORD, "text", "doc_id")
+
+
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as postings: key conv_id, version turn, segment turn modulo 4."""
     rows = _table(spark, sf_dir, "conversations")
@@ -112,7 +116,7 @@ def posting_list_sizes(spark, sf_dir):
 
 @_query(f"SELECT DISTINCT doc_id FROM ({_sql_postings('documents', 'text', 'doc_id')}) WHERE term IN ({_sql_query(KEYWORD)})")
 def search_or(spark, sf_dir):
-    return search.hits(_documents(spark, sf_dir), KEYWORD).select(F.col("u_hash").alias("doc_id"))
+    return _scanned(spark, sf_dir).select("doc_id")
 
 
 _RANKED = f"SELECT doc_id, count(DISTINCT term) AS score FROM ({_sql_postings('documents', 'text', 'doc_id')}) WHERE term IN ({_sql_query(KEYWORD)}) GROUP BY doc_id"
@@ -120,14 +124,21 @@ _RANKED = f"SELECT doc_id, count(DISTINCT term) AS score FROM ({_sql_postings('d
 
 @_query(_RANKED)
 def ranking_search(spark, sf_dir):
+    """The flagship: texts without an index, in one scan."""
+    # hits are dealt once before the sort, whose sampling would else scan the texts a second time
+    return _scanned(spark, sf_dir).repartition("doc_id").orderBy(F.desc("score"), "doc_id")
+
+
+@_query(_RANKED)
+def ranking_search_index(spark, sf_dir):
+    """The same over postings."""
     ranked = search.scores(_documents(spark, sf_dir), KEYWORD)
     return ranked.select(F.col("u_hash").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id")
 
 
 @_query(f"{_RANKED} ORDER BY score DESC, doc_id LIMIT {TOP}")
 def ranking_search_topk(spark, sf_dir):
-    ranked = search.scores(_documents(spark, sf_dir), KEYWORD)
-    return ranked.select(F.col("u_hash").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(TOP)
+    return _scanned(spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(TOP)
 
 
 @_query(f"SELECT q.item_id, d.doc_id, count(*) AS score FROM (SELECT DISTINCT doc_id, term FROM ({_sql_postings('documents', 'text', 'doc_id')})) d JOIN (SELECT DISTINCT item_id, term FROM ({_sql_postings('benchmark', 'text', 'item_id')}) WHERE length(term) > 8) q USING (term) GROUP BY ALL")
@@ -282,7 +293,7 @@ def semantic_search(spark, sf_dir):
     f"SELECT id AS doc_id, round(sum(1.0::DOUBLE / ({vectors.RRF_K} + rn)), 6) AS rrf FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY id"
 )
 def hybrid_rrf(spark, sf_dir):
-    words = search.scores(_documents(spark, sf_dir), KEYWORD).select(F.col("u_hash").alias("doc_id"), "score")
+    words = _scanned(spark, sf_dir)
     near = _similar(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), _rounded(F.col("similarity")).alias("similarity"))
     parts = [vectors.reciprocal_ranks(words, "doc_id", [F.desc("score"), "doc_id"]), vectors.reciprocal_ranks(near, "doc_id", [F.desc("similarity"), "doc_id"])]
     return vectors.fuse(parts, "doc_id").select("doc_id", _rounded(F.col("rrf")).alias("rrf"))

@@ -83,3 +83,22 @@ def test_metadata(spark, meta, filled, field):
     m = F.lit(meta).cast("string")
     row = spark.range(1).select(keys.is_filled(m).alias("f"), keys.json_field(m, "description", F.lit("")).alias("d")).first()
     assert (row["f"], row["d"]) == (filled, field)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text(alphabet="aB12 _é\t\n가ァ日ー🙂", max_size=14), min_size=20, max_size=40))
+def test_terms_without_cutting(spark, values):
+    wanted = ["a", "b", "1", "ab", "a1", "12", "22", "121", "aab", "가", "가a", "ァ"]
+    tests = text.found_terms(F.col("t"), wanted)
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, t string").select("i", tests.alias("x")).collect()
+    for value, r in zip(values, sorted(rows)):
+        assert [t for t, x in zip(wanted, r["x"]) if x] == [t for t in wanted if t in plain_terms(value)], repr(value)
+
+
+def test_scan_scores(spark):
+    from larkspur.operators import search
+
+    rows = spark.createDataFrame([(1, "Search Engine 12"), (2, None), (3, "x12y"), (4, "112")], "id int, content string")
+    got = {r["id"]: r["score"] for r in search.scan_scores(rows, "engine 12", "content", "id").collect()}
+    assert got == {1: len(plain_terms("engine 12")), 3: 1}
+    assert search.scan_scores(rows, " ", "content", "id").count() == 0
