@@ -44,6 +44,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder, deleted on leaving the block.
 
@@ -59,8 +64,7 @@ class Scratch:
         return self
 
     def __exit__(self, *error) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.folder)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1

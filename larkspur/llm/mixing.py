@@ -28,6 +28,8 @@ from .common import checkpointed, word_count, words_of
 
 #: Hash ranges per source: the first four hex digits of the hash.
 DIGITS = 4
+#: Up to so many sources their control table is broadcast (some 100 bytes a row); more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def water_fill(sources: DataFrame, budget_share: float, max_epochs: float) -> DataFrame:
@@ -75,6 +77,8 @@ def mix(docs: DataFrame, weigh, budget_share: float = 1.0, max_epochs: float = 4
     cut = cut.groupBy(F.col("a.source").alias("__s"), F.col("a.source_size").alias("_source_size"), F.col("a.target").alias("_target"), F.col("a.whole").alias("_whole")).agg(
         F.max(F.struct(F.col("b.__range").alias("at"), (F.col("a.rest") - F.col("b.before")).alias("left"))).alias("__cut")
     )
+    if plan.count() <= BROADCAST_SOURCES:
+        cut = F.broadcast(cut)  # one row a source
     rows = rows.join(cut, rows[source].eqNullSafe(cut["__s"])).withColumn("__at", F.coalesce("__cut.at", F.lit(-1)))
     inside = rows.filter(F.col("__range") == F.col("__at"))
     seen = Window.partitionBy("__s").orderBy("__order", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
