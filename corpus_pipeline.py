@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near duplicates, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents.  run() writes each stage's result as Parquet to the shared checkpoint folder and reads it again for the next one.
+columns of documents.  run() writes each stage's result as Parquet to the
+shared checkpoint folder, reads it again for the next one, and removes what no stage needs any more.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from larkspur.llm.common import read_table, shared_folder
+from larkspur.llm.common import read_table, remove, shared_folder
 
 WEIGHTS = [3, 1, 2]
 BUDGET_SHARE = 1.5
@@ -65,8 +66,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        at = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(at), at
     return docs
