@@ -87,6 +87,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def least_by_hash(rows: DataFrame, order: Column, n: int, *ties: str) -> DataFrame:
+    """About the n rows of the least `order`, a 64-bit hash: exactly n if there are so many and hashes are uniform.
+
+    Rows beyond twice the expected range go first, so that no task brings n rows of its own to the driver.
+    """
+    total = rows.count()
+    if total > 2 * n:
+        rows = rows.filter(order <= F.lit(int(-(2**63) + (2 * n + 1000) / total * 2**64)) if 2 * n + 1000 < total else F.lit(True))
+    return rows.orderBy(order, *ties).limit(n)
+
+
 def numbered(df: DataFrame, group: str, order: list[str], out: str, rows_per_part: int = 100_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in `out`.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import pieces, text_bytes
-from .common import held_out
+from .common import held_out, least_by_hash
 
 CHUNK, OVERLAP = 1024, 64
 STEP = CHUNK - OVERLAP
@@ -173,7 +173,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Network | float:
     """A network, or the share of label 1 where there is nothing to tell apart."""
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(key))).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_label"))
-    sides = [known.filter(F.col("_label") == v).orderBy(F.xxhash64("_k", F.lit(SEED)), "_k").limit(sample) for v in (0, 1)]
+    sides = [least_by_hash(known.filter(F.col("_label") == v), F.xxhash64("_k", F.lit(SEED)), sample, "_k") for v in (0, 1)]
     chosen = sides[0].union(sides[1])  # 2 * sample rows at most, so it may be broadcast
     rows = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), F.col(key) == F.col("_k")).select("_k", "_label", F.coalesce(text, F.lit("")).alias("t")).collect()
     rows.sort(key=lambda r: (r["_k"], r["_label"], r["t"]))

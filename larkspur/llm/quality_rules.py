@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import hash_spans, pieces, text_bytes, window_hashes, word_spans
-from .common import checkpointed, held_out
+from .common import checkpointed, held_out, least_by_hash
 
 #: Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -193,7 +193,7 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     counts = checkpointed(counts.withColumn("base_failed", failed))
     marks = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_label")).filter(~held_out(F.col("_k")))
     marked = counts.filter("NOT base_failed").join(marks, counts[key] == marks["_k"])
-    some = marked.orderBy(F.xxhash64(key, F.lit(SEED)), *COUNTS).limit(sample).select(*COUNTS, "_label").toPandas()
+    some = least_by_hash(marked, F.xxhash64(key, F.lit(SEED)), sample, *COUNTS).select(*COUNTS, "_label").toPandas()
     view = forest = None
     if (some["_label"] == 1).any():
         seen_ratios = ratios({c: some[c].to_numpy() for c in COUNTS})
