@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import hash_spans, mixed, pieces, text_bytes, window_hashes, word_spans
-from .sketch import maybe_repeated, repeated_bits, sketch_bits
+from .common import Scratch, checkpointed
+from .sketch import maybe_member, maybe_repeated, members, repeated_bits, sketch_bits
 
 WINDOW = 50
 #: Words of the runs that name a window in the sketch.
@@ -113,39 +114,62 @@ def covered_places(docs: DataFrame, text: str = "text", key: str = "doc_id", win
             for ids, place, a, b in estimated(batch):
                 yield pa.record_batch([pa.array(x) for x in (a, b, ids, place)], names=["a", "b", "k", "place"])
 
-    repeats = texts.mapInArrow(ends, "a long, b int, least long, most long").groupBy("a", "b").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("a", "b", "least")
-    later = texts.mapInArrow(occurrences, "a long, b int, k long, place int").join(repeats, ["a", "b"]).filter("k > least")
-    return later.groupBy("k").agg(F.collect_list("place").alias("places")).withColumnRenamed("k", key)
+    with Scratch(spark) as scratch:
+        # kept as a table, so that the join below has plain exchanges on both sides and skewed windows can be split
+        repeats = scratch.keep(texts.mapInArrow(ends, "a long, b int, least long, most long").groupBy("a", "b").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("a", "b", "least"))
+        later = texts.mapInArrow(occurrences, "a long, b int, k long, place int").join(repeats, ["a", "b"]).filter("k > least")
+        return checkpointed(later.groupBy("k").agg(F.collect_list("place").alias("places"))).withColumnRenamed("k", key)
+
+
+def _cleaned(batch: pa.RecordBatch, lists: pa.Array | None, window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Words counted and kept, for rows (key, text) and the places to remove."""
+    data, offsets = text_bytes(batch.column(1))
+    for lo, hi in pieces(offsets):
+        body = data[offsets[lo] : offsets[hi]]
+        starts, stops, first = word_spans(body, offsets[lo : hi + 1] - offsets[lo])
+        raw, counts, gone, kept = body.tobytes(), [], [], []
+        for i in range(hi - lo):
+            s, e = starts[first[i] : first[i + 1]].tolist(), stops[first[i] : first[i + 1]].tolist()
+            words = [raw[a:b] for a, b in zip(s, e)]
+            if lists is not None and lists[lo + i].is_valid:
+                at = lists[lo + i].values.to_numpy()
+                at = at[at < len(s)]
+                change = np.zeros(len(s) + 1, dtype=np.int32)
+                np.add.at(change, at, 1)
+                np.add.at(change, np.minimum(at + window, len(s)), -1)
+                words = [words[j] for j in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+            counts.append(len(s))
+            gone.append(len(s) - len(words))
+            kept.append(b" ".join(words).decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=names)
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """key, n_words, n_removed and kept_text (the kept words joined by one space) for each row of docs."""
+    """key, n_words, n_removed and kept_text (the kept words joined by one space) for each row of docs.
+
+    Only texts that lose words are moved to meet their places; a sketch of their keys tells them apart.
+    """
     places = covered_places(docs, text, key, window).withColumnRenamed(key, "_k")
-    left = docs.select(F.col(key), F.col(text).alias("_t"))
-    joined = left.join(places, F.coalesce(left[key].cast("long"), F.lit(_NULL)) == places["_k"], "left").select(key, "_t", "places")
+    rows = docs.select(F.col(key), F.col(text).alias("_t"))
+    hit = docs.sparkSession.sparkContext.broadcast(members(places.select("_k")))
     kind = docs.schema[key].dataType.simpleString()
+    names, schema = [key, "n_words", "n_removed", "kept_text"], f"`{key}` {kind}, n_words long, n_removed long, kept_text string"
+
+    def flags(batch: pa.RecordBatch) -> np.ndarray:
+        return maybe_member(hit.value, batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _cleaned(batch.filter(pa.array(~flags(batch))), None, window, names)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(flags(batch)))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            lists = batch.column(2)
-            for lo, hi in pieces(offsets):
-                body = data[offsets[lo] : offsets[hi]]
-                starts, stops, first = word_spans(body, offsets[lo : hi + 1] - offsets[lo])
-                raw, counts, gone, kept = body.tobytes(), [], [], []
-                for i in range(hi - lo):
-                    s, e = starts[first[i] : first[i + 1]].tolist(), stops[first[i] : first[i + 1]].tolist()
-                    keep = np.ones(len(s), dtype=bool)
-                    if lists[lo + i].is_valid:
-                        at = lists[lo + i].values.to_numpy()
-                        change = np.zeros(len(s) + 1, dtype=np.int32)
-                        at = at[at < len(s)]
-                        np.add.at(change, at, 1)
-                        np.add.at(change, np.minimum(at + window, len(s)), -1)
-                        keep = np.cumsum(change[:-1]) == 0
-                    counts.append(len(s))
-                    gone.append(int(len(s) - keep.sum()))
-                    kept.append(b" ".join([raw[s[j] : e[j]] for j in np.flatnonzero(keep).tolist()]).decode())
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_words", "n_removed", "kept_text"])
-
-    return joined.mapInArrow(clean, f"{key} {kind}, n_words long, n_removed long, kept_text string")
+            yield from _cleaned(batch, batch.column(2), window, names)
+
+    moved = rows.mapInArrow(touched, f"`{key}` {kind}, _t string")
+    moved = moved.join(places, F.coalesce(moved[key].cast("long"), F.lit(_NULL)) == places["_k"], "left").select(key, "_t", "places")
+    return rows.mapInArrow(untouched, schema).unionByName(moved.mapInArrow(clean, schema))
