@@ -27,6 +27,11 @@ def arranged(postings: DataFrame, partitions: int | None = None) -> DataFrame:
     return dealt.sortWithinPartitions(*by)
 
 
+def without(postings: DataFrame, keys: DataFrame) -> DataFrame:
+    """Postings without those of some keys; terms left without keys are gone by themselves."""
+    return postings.join(keys.select("u_hash"), "u_hash", "left_anti").select(*postings.columns)
+
+
 def frequencies(postings: DataFrame) -> DataFrame:
     """Documents per term."""
     return postings.groupBy("term").agg(F.countDistinct("u_hash").alias("df"))

@@ -63,3 +63,14 @@ def embed(docs: DataFrame, encode: Callable[[list[str]], list[list[float]]], key
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [list(map(float, v)) for v in encode(part[text].fillna("").tolist())]})
 
     return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
+
+
+def build(docs: DataFrame, folder: str, encode: Callable[[list[str]], list[list[float]]], key: str = "u_hash", text: str = "content", batch: int = 64) -> DataFrame:
+    """Vectors of all docs, kept in a folder: documents that have one are skipped, so a build that was cut short resumes."""
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    left = docs
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        left = pending(docs, spark.read.parquet(folder), key)
+    embed(left, encode, key, text, batch).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)

@@ -223,6 +223,13 @@ def compact_gc(spark, sf_dir):
     return compaction.compact(_talk(spark, sf_dir), live).select("term", F.col("u_hash").alias("conv_id"), "lsn")
 
 
+@_query(f"SELECT DISTINCT conv_id, term FROM ({_sql_postings('conversations', 'text', 'conv_id')}) WHERE conv_id % 3 <> 0")
+def postings_without(spark, sf_dir):
+    """The index after every third conversation was taken out."""
+    gone = _talk_log(spark, sf_dir).filter(F.col("u_hash") % 3 == 0).select("u_hash").distinct()
+    return postings.without(_talk(spark, sf_dir), gone).select(F.col("u_hash").alias("conv_id"), "term").distinct()
+
+
 @_query("SELECT CASE WHEN count(DISTINCT turn % 4) >= 10 THEN true ELSE false END AS due, count(DISTINCT turn % 4) AS segments FROM conversations")
 def compaction_due(spark, sf_dir):
     n = _talk(spark, sf_dir).agg(F.countDistinct("segment_id").alias("segments"))

@@ -25,3 +25,11 @@ def test_resumable_embedding(spark):
     left = vectors.pending(docs, done, "u_hash")
     made = vectors.embed(left, lambda texts: [[float(len(t))] for t in texts], batch=1)
     assert {r["u_hash"]: list(r["embedding"]) for r in made.collect()} == {"b": [1.0], "c": [0.0]}
+
+
+def test_build_resumes(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "xx"), ("b", "y")], "u_hash string, content string")
+    folder = str(tmp_path / "v")
+    assert vectors.build(docs.filter("u_hash = 'a'"), folder, lambda t: [[1.0] for _ in t]).count() == 1
+    again = {r["u_hash"]: list(r["embedding"]) for r in vectors.build(docs, folder, lambda t: [[2.0] for _ in t]).collect()}
+    assert again == {"a": [1.0], "b": [2.0]}
