@@ -55,7 +55,7 @@ def _table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
 def _cuts(rows: DataFrame, nodes: dict[int, dict], at: str) -> None:
     """For each node find the value of `at` in [lo, hi] at which the bytes below reach `want`.
 
-    Sets node["lo"] to the value and lowers node["want"] by the bytes before it.
+    Sets node["lo"] to the value, lowers node["want"] by the bytes before it, and sets node["bytes"] to those at it.
     """
     spark = rows.sparkSession
     open_nodes = {k: v for k, v in nodes.items() if v["lo"] < v["hi"]}
@@ -73,6 +73,7 @@ def _cuts(rows: DataFrame, nodes: dict[int, dict], at: str) -> None:
                 continue
             m = found[k]
             v["want"] -= m["upto"] - m["bytes"]
+            v["bytes"] = m["bytes"]
             v["lo"], v["hi"] = v["lo"] + m["bucket"] * step, min(v["hi"], v["lo"] + (m["bucket"] + 1) * step - 1)
         open_nodes = {k: v for k, v in open_nodes.items() if v["lo"] < v["hi"]}
 
@@ -123,6 +124,8 @@ def kd_shards(docs: DataFrame, dims: list[str], shards: int | None = None, targe
         tied = open_rows.join(F.broadcast(value), "node").filter(F.col("at") == F.col("cut"))
         ties = {n: {"lo": 0, "hi": TIES - 1, "want": c["want"]} for n, c in cuts.items()}
         _cuts(tied, ties, "tie")
+        for t in ties.values():  # the row that the cut falls into goes to the side that has more of it
+            t["lo"] += 2 * t["want"] > t.get("bytes", 0)
         split = _table(spark, [(n, c["dim"], c["lo"], ties[n]["lo"], 2 * n + 1, 2 * n + 2) for n, c in cuts.items()], "node dim cut cut_tie low high")
         below = (pick < F.col("cut")) | ((pick == F.col("cut")) & (F.col("tie") < F.col("cut_tie")))
         rows = rows.join(F.broadcast(split), "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).when(below, F.col("low")).otherwise(F.col("high"))).drop("dim", "cut", "cut_tie", "low", "high")
