@@ -47,7 +47,9 @@ NUM, DEN = 4, 5
 #: shingles are, so their table does not grow with the number of documents.
 FREQUENT = 0.001
 #: Shingles that a task counts together, which bounds its memory.
-COUNTED = 2_000_000
+COUNTED = 1_500_000
+#: Shingles of sets that a Python worker sends together.
+SENT = 500_000
 #: Rows of two sets each that reach a Python worker together.
 PROBED = 500
 #: List entries to expect of a document; sizes the sketch and decides nothing else.
@@ -240,8 +242,15 @@ def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingle_sets(_only(batch, wanted.value)))
-            yield pa.record_batch([pa.array([k for k, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["k", "s"])
+            ids, held, size = [], [], 0
+            for k, one in shingle_sets(_only(batch, wanted.value)):
+                ids.append(k), held.append(one.tobytes())
+                size += len(one)
+                if size > SENT:
+                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], names=["k", "s"])
+                    ids, held, size = [], [], 0
+            if ids:
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], names=["k", "s"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,7 +55,6 @@ def _load(path: str | None):
             file = public_tokenizers.path(TOKENIZER)
         else:
             file = path
-        exact = Tokenizer.from_file(file)
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -71,10 +70,13 @@ def _load(path: str | None):
             byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
             fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
         unusual = re.compile("|".join(special)) if special else None
+        exact: list = []  # loaded for the first text that needs it
 
         def encode(text: str) -> np.ndarray:
             if fast is None or unusual and unusual.search(text):
-                return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+                if not exact:
+                    exact.append(Tokenizer.from_file(file))
+                return np.array(exact[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
             return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
         held[path] = encode
