@@ -14,7 +14,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # kept, so that the join has plain exchanges on both sides and a hub's edges can be split
+    least = checkpointed(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     joined = near.join(least, "u")
     out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.filter("u > v").distinct()

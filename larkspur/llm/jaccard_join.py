@@ -286,14 +286,16 @@ def _links(entries: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     # each list with its pivot: the class with the largest part of its merged shingles shared
     columns = ["rep", "n", "dead", "last"]
     weight = F.struct((F.col("dead") / F.col("n")).alias("lost"), *columns)
+    # aggregates are kept as tables: joins of plain exchanges can split the rows of a hot list
     lists = entries.groupBy("token").agg(F.min(weight).alias("v"), F.count(F.lit(1)).alias("length")).filter("length > 1").select("token", *[F.col(f"v.{c}").alias(c) for c in columns])
+    lists = scratch.keep(lists)
     links = _linked(scratch.keep(_met(entries, lists, F.col("a.rep") != F.col("b.rep"))), texts, scratch)
 
     joined = components(links)
     placed = scratch.keep(entries.join(joined, entries["rep"] == joined["node"], "left").select(*entries.columns, F.coalesce("component", "rep").alias("part")))
     per_part = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("c"))
     mains = per_part.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("m.part").alias("main"))
-    open_lists = scratch.keep(placed.join(mains, "token"))
+    open_lists = scratch.keep(placed.join(scratch.keep(mains), "token"))
     # pairs outside the main part are met from one side only
     apart = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
     return links.union(_linked(scratch.keep(_met(open_lists.filter("part != main"), open_lists, apart)), texts, scratch))

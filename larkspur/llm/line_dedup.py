@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 WINDOW = 3
 
 
@@ -44,7 +46,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     places = docs.filter(F.col(text).isNotNull() & (F.size(lines) >= WINDOW)).select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.explode(windows(lines)).alias("w")).select("k", "t", "w.pos", "w.a", "w.b")
     place = F.struct("k", "t", "pos")
     first = places.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("a", "b", "first")
-    later = places.join(first, ["a", "b"]).filter(place > F.col("first")).select("k", "t", "pos")
+    # kept, so that the join has plain exchanges on both sides and a hot window's places can be split
+    later = places.join(checkpointed(first), ["a", "b"]).filter(place > F.col("first")).select("k", "t", "pos")
     by_doc = Window.partitionBy("k", "t").orderBy("pos")
     later = later.withColumn("run", F.sum(F.when(F.col("pos") - F.lag("pos").over(by_doc) <= WINDOW, 0).otherwise(1)).over(by_doc))
     runs = later.groupBy("k", "t", "run").agg(F.min("pos").alias("start"), (F.max("pos") + WINDOW).alias("end"))
