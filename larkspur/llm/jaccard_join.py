@@ -220,7 +220,8 @@ def _met(a: DataFrame, b: DataFrame, more: Column) -> DataFrame:
     """Pairs (x, y) from entries of common lists that share as many merged shingles as a link needs.
 
     Of two sets the one whose merged shingles end first has all of them below the other's end, so
-    those it does not share there it does not share at all.
+    those it does not share there it does not share at all.  Rows of different texts may share an id, so
+    a pair of ids needs what the least of its pairs of sets needs.
     """
     a, b = a.alias("a"), b.alias("b")
     need = needed(F.col("a.n"), F.col("b.n"))
@@ -229,7 +230,7 @@ def _met(a: DataFrame, b: DataFrame, more: Column) -> DataFrame:
     joined = a.join(b, (F.col("a.token") == F.col("b.token")) & more & (F.least("a.n", "b.n") >= need) & (n - dead >= need))
     merged = n - F.floor((NUM * n + (DEN - 1)) / DEN) + 1
     rows = joined.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"), (need - n + merged).alias("shared_needed"))
-    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.max("shared_needed").alias("shared_needed")).filter(F.col("shared") >= F.col("shared_needed")).select("x", "y")
+    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.min("shared_needed").alias("shared_needed")).filter(F.col("shared") >= F.col("shared_needed")).select("x", "y")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -307,12 +308,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     facts = checkpointed(_facts(texts))
     signed = facts.filter("token IS NULL").select("k", "n", "c1", "c2")
     classes = checkpointed(signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("k").alias("rep")))
+    reps = classes.select("c1", "c2", F.col("n").alias("cn"), "rep")
+    placed = signed.alias("s").join(reps.alias("r"), (F.col("s.c1") == F.col("r.c1")) & (F.col("s.c2") == F.col("r.c2")) & (F.col("s.n") == F.col("r.cn")), "left").select("k", F.col("s.n").alias("n"), F.coalesce("rep", "k").alias("rep"))
+    placed = checkpointed(placed)
     with Scratch(docs.sparkSession) as scratch:
         short = scratch.keep(_short_lists(texts, classes.select("rep"), _frequent(facts, signed.count())))
-        groups = components(_links(scratch.keep(_entries(short)), texts, scratch))
+        # rows that share an id are one document: its sets' classes are joined by the id
+        several = scratch.keep(placed.groupBy("k").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("k"))
+        own = scratch.keep(placed.select("k", "rep").distinct()).join(several, "k").filter("k != rep").select(F.col("k").alias("x"), F.col("rep").alias("y"))
+        groups = components(_links(scratch.keep(_entries(short)), texts, scratch).union(own))
 
-    reps = classes.select("c1", "c2", F.col("n").alias("cn"), "rep")
-    out = signed.select("k", "n", "c1", "c2").alias("s").join(reps.alias("r"), (F.col("s.c1") == F.col("r.c1")) & (F.col("s.c2") == F.col("r.c2")) & (F.col("s.n") == F.col("r.cn")), "left").select("k", F.col("s.n").alias("n"), "rep")
-    out = out.join(groups, out["rep"] == groups["node"], "left").select("k", "n", F.coalesce("component", "rep", "k").alias("component_id"))
+    out = placed.join(groups, placed["rep"] == groups["node"], "left").select("k", "n", F.coalesce("component", "rep").alias("component_id"))
     real = lambda c: F.when(F.col(c) == _NULL, None).otherwise(F.col(c))
     return out.select(real("k").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))

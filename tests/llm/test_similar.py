@@ -97,6 +97,36 @@ def test_connected_components(spark):
     assert components.components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+def test_count_filter_of_shared_ids(spark):
+    """A larger text of the same id does not raise what a pair needs."""
+    entries = lambda k, tokens, n, last: [(t, k, n, 0, last) for t in tokens]
+    columns = "token long, rep long, n long, dead int, last long"
+    a = spark.createDataFrame(entries(1, range(12), 100, 30) + entries(1, [0], 120, 50), columns)
+    b = spark.createDataFrame(entries(2, range(21), 100, 20), columns)
+    assert [tuple(r) for r in jaccard_join._met(a, b, F.col("a.rep") != F.col("b.rep")).collect()] == [(1, 2)]
+
+
+def test_shared_ids_have_the_links_of_any_row(spark):
+    """Beside a text that links, an id holds a larger one that shares a few shingles, or texts of several groups."""
+    rng = random.Random(11)
+    make = lambda name, k: " ".join(f"{name}{i}" for i in range(k))
+    docs, want = [], {}
+    for i in range(60):
+        text = make(f"g{i}x", 104)
+        docs += [(1000 + i, text), (2000 + i, near(rng, text, 2)), (2000 + i, " ".join(text.split()[:12]) + " " + make(f"h{i}x", 110))]
+        # longer texts that hold the first, so that its shingles count as shared
+        docs += [(10_000 + 10 * i + j, text + " " + make(f"z{i}y{j}x", 300)) for j in range(4)]
+        one, other = shingles(text), shingles(docs[-6][1])
+        if 100 * len(one & other) >= 80 * len(one | other):
+            want[1000 + i] = want[2000 + i] = {1000 + i}
+    docs += [(5, make("p", 50)), (7, make("p", 50)), (7, make("q", 50)), (7, ""), (9, make("q", 50) + " tail")]
+    got = {}
+    for r in jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert len(want) > 60 and {k: got[k] for k in want} == want
+    assert got[5] == got[7] == got[9] == {5}
+
+
 # --- substring dedup
 
 
