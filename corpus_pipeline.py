@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from larkspur.llm.common import read_table, remove, shared_folder
+from larkspur.llm.common import WORD, read_table, remove, shared_folder
 
 WEIGHTS = [3, 1, 2]
 BUDGET_SHARE = 1.5
@@ -35,10 +35,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id in each group of near duplicates."""
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))  # noqa: E731  joins and groups by one plain column share an exchange
-    groups = jaccard_join.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.withColumn("_k", key("doc_id")).dropDuplicates(["_k"]).join(groups.select(key("doc_id").alias("_k")), "_k", "left_semi").select(*docs.columns)
+    """Keep the row of the least id in each group of near duplicates.
+
+    A row goes by a hash of all it holds, so rows that share an id, or have none, meet by their texts alone;
+    of rows equal in every column one stays.  Texts without words are no duplicates, and all stay.
+    """
+    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    some = docs.filter(worded).withColumn("_k", key)
+    groups = jaccard_join.near_duplicates(some, key="_k").select("_k", "component_id").distinct()
+    ids = some.select("_k", F.col("doc_id").cast("long").alias("id")).distinct()
+    # a null id comes before all others; equal ids go by the hash
+    least = ids.join(groups, "_k").groupBy("component_id").agg(F.min(F.struct("id", "_k")).alias("m")).select(F.col("m._k").alias("_k"))
+    return some.dropDuplicates(["_k"]).join(least, "_k", "left_semi").select(*docs.columns).union(docs.filter(~worded))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,14 @@ def test_other_columns_are_carried(spark):
     for stage in (corpus_pipeline.language, corpus_pipeline.lines, corpus_pipeline.near_duplicates, corpus_pipeline.mixture):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.filter("doc_id = 24").select("size").distinct().count() <= 1
+
+
+def test_shared_and_null_ids_lose_no_text(spark):
+    """Rows of one id, or of none, are merged only where their texts are near."""
+    make = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = lambda name: make(name) + " tail"
+    rows = [(None, make("a")), (None, make("b")), (None, make("c")), (None, make("c")), (None, None), (None, None), (7, make("d")), (7, make("e")), (7, near("a")), (8, near("b")), (3, make("f")), (9, near("f")), (9, near("e")), (4, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    want = [(None, make("a")), (None, make("b")), (None, make("c")), (None, None), (None, None), (7, make("d")), (7, make("e")), (3, make("f")), (4, "")]
+    assert got == sorted(want, key=repr)
