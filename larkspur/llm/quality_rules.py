@@ -3,8 +3,8 @@
 Statistics of whole texts are counted on bytes with numpy (statistics()).  An isolation forest cuts
 random subsamples by random splits of ratios of these statistics; texts that few cuts isolate are
 anomalous.  The forest is fitted on a bounded sample (SAMPLE rows, the least by a seeded hash of
-the id among labelled rows); the threshold on its score comes from all labelled rows, as
-counts by score: the one that finds most bad documents while it loses at most MAX_LOSS of the
+the id among labelled rows that are not held out); the threshold on its score comes from all labelled
+rows but those held out (held_out(), about a third of the ids, left for judging it), as counts by score: the one that finds most bad documents while it loses at most MAX_LOSS of the
 good ones.  Without labelled rows of both kinds the threshold is DEFAULT_THRESHOLD.
 
 Cases: a null or empty text has all counts 0 (and so fails the base rules); null labels are none;
