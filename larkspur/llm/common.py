@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words, and a word, for Java's regular expressions.
@@ -30,7 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
         return held
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
+    own = tempfile.mkdtemp(prefix="larkspur-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -87,17 +91,67 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def least_by_hash(rows: DataFrame, order: Column, n: int, *ties: str) -> DataFrame:
-    """About the n rows of the least `order`, a 64-bit hash: exactly n if there are so many and hashes are uniform.
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores at its end as keep it from meeting a column (case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    Rows beyond twice the expected range go first, so that no task brings n rows of its own to the driver.
+
+def small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it is known to have at most `limit` narrow rows; more are left to shuffle joins."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def least_by_hash(rows: DataFrame, order: str, n: int, *ties: str) -> DataFrame:
+    """The n rows of the least `order` (a 64-bit hash, not null), ties by `ties`.
+
+    Counts over ranges of the hash tell where the n-th row lies, so rows far beyond it are dropped before
+    anything is sorted, however often a hash repeats.
     """
-    total = rows.count()
-    if total > 2 * n:
-        rows = rows.filter(order <= F.lit(int(-(2**63) + (2 * n + 1000) / total * 2**64)) if 2 * n + 1000 < total else F.lit(True))
+    steps = 1 << 12
+    step = F.shiftright(F.col(order), 52)  # -2048 .. 2047
+    counts = sorted((r[0], r[1]) for r in rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())  # at most 4096 rows
+    assert len(counts) <= steps
+    last, seen = None, 0
+    for at, many in counts:
+        last, seen = at, seen + many
+        if seen >= n:
+            break
+    if last is not None:
+        rows = rows.filter(step <= last)
     return rows.orderBy(order, *ties).limit(n)
 
 
+def range_parts(df: DataFrame, order: list[str], rows: int, out: str, rows_per_part: int = 100_000) -> DataFrame:
+    """df, kept in the shared folder, with `out`: the number of its part among parts that are cut along `order`.
+
+    Rows that tie in all of `order` share a part.  Spark takes the cuts from a sample; they decide speed only.
+    """
+    parts = max(1, -(-rows // rows_per_part))
+    return checkpointed(df.repartitionByRange(parts, *order).withColumn(out, F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: str, rows: int) -> DataFrame:
+    """Add `out`: the sum of `value` over the rows of the same group that come before, by `order`.
+
+    No task holds a whole group: parts are cut along (group, order), summed, and added up part by part.
+    """
+    part, g, p, start = free_names(df.columns, "__part", "__g", "__p", "__start")
+    dealt = range_parts(df, [group, *order], rows, part)
+    before = Window.partitionBy(g).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(F.col(group).alias(g), F.col(part).alias(p)).agg(F.sum(value).alias("__sum"))
+    starts = sums.select(g, p, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    made = dealt.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = made.join(starts, made[group].eqNullSafe(starts[g]) & (made[part] == starts[p]))
+    return joined.withColumn(out, F.col(out) + F.col(start)).drop(part, g, p, start)
+
+
 def numbered(df: DataFrame, group: str, order: list[str], out: str, rows_per_part: int = 100_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in `out`.
 
@@ -105,15 +159,14 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, rows_per_par
     per part, and numbered inside each part from its group's running total.  The counts have one
     row per part, about one for every `rows_per_part` rows and group.
     """
-    from pyspark.sql import Window
-
+    part, g, p, start, k = free_names(df.columns, "__part", "__g", "__p", "__start", "__k")
     n = df.count()
     parts = max(8, n // rows_per_part)
-    dealt = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = dealt.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(group, "__part").orderBy(*order)
-    ranked = dealt.withColumn("__k", F.row_number().over(inside) - 1)
-    joined = ranked.join(starts, ranked[group].eqNullSafe(starts["__g"]) & (ranked["__part"] == starts["__p"]))
-    return joined.withColumn(out, (F.col("__start") + F.col("__k")).cast("long")).drop("__part", "__k", "__g", "__p", "__start")
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    counts = dealt.groupBy(group, part).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias(g), F.col(part).alias(p), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(group, part).orderBy(*order)
+    ranked = dealt.withColumn(k, F.row_number().over(inside) - 1)
+    joined = ranked.join(starts, ranked[group].eqNullSafe(starts[g]) & (ranked[part] == starts[p]))
+    return joined.withColumn(out, (F.col(start) + F.col(k)).cast("long")).drop(part, k, g, p, start)

@@ -1,6 +1,7 @@
 """Sharding, mixing, line dedup and fingerprints."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -68,6 +69,80 @@ def test_one_hot_value_is_cut(spark):
     assert len(counts) == 4 and max(counts) - min(counts) <= 8
 
 
+def plain_kd(rows, shards):
+    """(key, shard) of rows (key, size, tie, coordinates): the tree by sorting whole nodes."""
+    if not rows:
+        return []
+    reach = [max(1, max(r[3][i] for r in rows) - min(r[3][i] for r in rows)) for i in range(len(rows[0][3]))]
+    out, todo = [], [(rows, 0, shards)]
+    while todo:
+        own, first, k = todo.pop()
+        if k == 1 or len(own) == 1:
+            out += [(r[0], first) for r in own]
+            continue
+        width = [(max(r[3][i] for r in own) - min(r[3][i] for r in own)) / u for i, u in enumerate(reach)]
+        dim = width.index(max(width))
+        own = sorted(own, key=lambda r: (r[3][dim], r[2]))
+        total, done, at = sum(r[1] for r in own), 0, 0
+        want = total * (k // 2) // k
+        while done + own[at][1] < want:
+            done, at = done + own[at][1], at + 1
+        if at + 1 < len(own) and (at == 0 or 2 * (want - done) > own[at][1]):
+            at += 1
+        at = min(at, len(own) - 1)
+        low = max(1, min(round(k * sum(r[1] for r in own[:at]) / total), k - 1, at))
+        high = max(1, min(k - low, len(own) - at))
+        low = max(low, min(k - high, at))
+        todo += [(own[:at], first, low), (own[at:], first + low, high)]
+    return out
+
+
+def shard_case(spark, name):
+    rng = random.Random(name)
+    letters = lambda n: "".join(rng.choices("abc é", k=n))
+    if name == "odd":
+        return with_null_id(spark).select("doc_id", "text", "source", F.col("n_chars").alias("n"))
+    rows = {
+        "few": [(i, letters(9), "s", i) for i in range(23)],
+        "one": [(1, "x", None, None)],
+        "two": [(1, "x", "s", 1), (2, "y", "s", 1)],
+        "huge": [(0, "x" * 30_000, "m", 5), *[(i, letters(60), rng.choice("pmq"), rng.randrange(9)) for i in range(1, 400)]],
+        "equal": [(7, "the same", "s", 3)] * 400,
+        "long prefix": [(i, letters(30), "common_crawl_" + rng.choice("abcdefg") * 3, -rng.randrange(50)) for i in range(500)],
+        "wide": [(i, letters(30), None if i % 3 else f"{i:09}", rng.choice([-(2**63), 2**63 - 1, 0, None])) for i in range(300)],
+    }[name]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(3)
+
+
+@pytest.mark.parametrize("name, shards", [("odd", 1), ("odd", 5), ("few", 24), ("one", 24), ("two", 24), ("huge", 24), ("equal", 4), ("long prefix", 7), ("wide", 6)])
+def test_shards_equal_plain_tree(spark, name, shards):
+    docs = shard_case(spark, name)
+    got = sharding.kd_shards(docs, ["source", "n"], shards=shards).collect()
+    body = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    ties = docs.select("*", F.shiftright(F.xxhash64(body, "doc_id", "source", "n"), 2).alias("tie")).collect()
+    ranks = [{v: i for i, v in enumerate(sorted({r[c] for r in ties} - {None}))} for c in ("source", "n")]
+    numbers = [r["n"] for r in ties if r["n"] is not None]
+    if not numbers or max(map(abs, numbers)) < 1 << 61:
+        ranks[1] = {v: v for v in numbers} | {None: min(numbers, default=0) - 1}
+    rows = [(r["doc_id"], len((r["text"] or "").encode()) + 8, r["tie"], (ranks[0].get(r["source"], -1), ranks[1].get(r["n"], -1))) for r in ties]
+    assert sorted(((r["doc_id"], r["shard"]) for r in got), key=repr) == sorted(plain_kd(rows, shards), key=repr)
+    held = {}
+    for r in got:
+        held.setdefault(r["shard"], []).append(r)
+    assert all(sorted(r["slot"] for r in own) == list(range(len(own))) for own in held.values())
+    assert len(held) == min(shards, len(got)) and max(held) == len(held) - 1
+    sizes = [sum(r["size"] for r in own) for own in held.values()]
+    assert max(sizes) <= max(1.3 * sum(sizes) / len(sizes), 2 * max(r["size"] for r in got))
+
+
+def test_shards_keep_the_order_of_any_type(spark):
+    """The first cut parts values in their own order."""
+    for values, kind in (([9.5, 10.0, -3.0, 100.25], "double"), ([-7, -40, 3, 12], "int"), (["common_crawl_b", "common_crawl_a", "zz", "common_crawl_aa"], "string")):
+        docs = spark.createDataFrame([(i, "x" * 100, values[i % 4]) for i in range(40)], f"doc_id long, text string, v {kind}")
+        got = sharding.kd_shards(docs, ["v"], shards=2).join(docs.select("doc_id", "v"), "doc_id").groupBy("shard").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("shard").collect()
+        assert got[0]["hi"] < got[1]["lo"], kind
+
+
 # --- mixing
 
 
