@@ -3,14 +3,19 @@
 Documents longer than a sequence are cut so that all pieces but the first are whole sequences.  What remains
 is bin packing, and only the lengths of pieces matter: their histogram has at most CAPACITY rows,
 whatever the input, and is solved on the driver by bin completion.  Best fit gives the first
-incumbent.  The search then takes the largest piece left, enumerates the undominated fillings
-around it by waste, applies one as often as the histogram allows, and goes on; a branch whose waste
-leaves no better solution is cut, and the search ends when the incumbent meets the lower bound
-or after NODES fillings.  The solution is a list of patterns with multiplicities; pieces are dealt to
-its slots by their number among pieces of the same length, which is counted in parallel.
-
-Cases: a null or empty text is one piece that holds the end token only; repeated rows are packed each;
-an empty table gives an empty result.
+incumbent.  The search then takes the largest piece left and enumerates all undominated fillings
+around it whose waste a better packing can bear, those of least waste among the next LOOK first.  A filling is
+applied as often as the histogram allows, and, on the way back, once; a branch is cut by its waste, by a lower
+bound on what is left, or if its rest was reached before with no more bins.  No filling is left out, so the
+search ends with a packing of the fewest bins (effort=None), or when the incumbent meets the lower bound, or
+after EFFORT sets of pieces with the best packing so far.  The solution is a list of patterns with multiplicities;
+pieces are dealt to its slots by their number among pieces of the same length, which is counted in parallel.
+
+Cases: a null or empty text is one piece that holds the end token only; a very long text is one Arrow row, so
+its ids and pieces are in a worker's memory at once (some 10 bytes a byte); texts that the fast engine gives
+up on (white space of a million characters) go through the library; pieces of equal length take places by id, and
+rows of one id by piece and checksum (which of two equal pieces goes where is not told apart by any output); repeated rows are packed each;
+an empty table gives an empty result; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from .common import checkpointed, numbered
 CAPACITY = 1024
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-#: Effort of the search: fillings tried in all, tried at one node, and pieces looked at to find those of one node.
-NODES, WIDTH, LOOK = 4_000, 6, 400
+#: Sets of pieces the search looks at in all; sets of a node met before the best of them is tried; states remembered.
+EFFORT, LOOK, SEEN = 400_000, 40, 100_000
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -72,12 +77,18 @@ def _load(path: str | None):
         unusual = re.compile("|".join(special)) if special else None
         exact: list = []  # loaded for the first text that needs it
 
+        def by_library(text: str) -> np.ndarray:
+            if not exact:
+                exact.append(Tokenizer.from_file(file))
+            return np.array(exact[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
         def encode(text: str) -> np.ndarray:
             if fast is None or unusual and unusual.search(text):
-                if not exact:
-                    exact.append(Tokenizer.from_file(file))
-                return np.array(exact[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+                return by_library(text)
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+            except ValueError:  # its pattern gives up on white space of some 10^6 characters on end
+                return by_library(text)
 
         held[path] = encode
     return held[path]
@@ -116,14 +127,18 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """No packing has fewer bins: total size, and pieces that exclude each other for every threshold."""
-    best = -(-sum(k * v for k, v in counts.items()) // capacity)
-    for t in [k for k in counts if 2 * k <= capacity] + [0]:
-        large = sum(v for k, v in counts.items() if k > capacity - t)
-        middle = [(k, v) for k, v in counts.items() if capacity - t >= k > capacity / 2]
-        room = sum((capacity - k) * v for k, v in middle)
-        small = sum(k * v for k, v in counts.items() if t <= k <= capacity / 2)
-        best = max(best, large + sum(v for _, v in middle) + max(0, -(-(small - room) // capacity)))
-    return best
+    size = np.array(sorted(counts), dtype=np.int64)
+    many = np.array([counts[int(k)] for k in size], dtype=np.int64)
+    bytes_ = np.concatenate([[0], np.cumsum(size * many)])
+    pieces_ = np.concatenate([[0], np.cumsum(many)])
+    half = int(np.searchsorted(size, capacity // 2, side="right"))  # pieces from here on are over half a bin
+    t = np.concatenate([[0], size[:half]])
+    low = np.concatenate([[0], np.arange(half)])  # pieces of at least t
+    top = np.searchsorted(size, capacity - t, side="right")  # pieces from here on exclude all of at least t
+    small = bytes_[half] - bytes_[low]
+    room = capacity * (pieces_[top] - pieces_[half]) - (bytes_[top] - bytes_[half])
+    bins = pieces_[-1] - pieces_[half] + np.maximum(0, -(-(small - room) // capacity))
+    return max(int(-(-bytes_[-1] // capacity)), int(bins.max()))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -160,15 +175,15 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(p, n) for room in groups for p, n in groups[room].items()]
 
 
-def fillings(room: int, counts: dict[int, int], lengths: list[int], waste: int) -> list[tuple[int, ...]]:
-    """Undominated sets of pieces of at most `room`, at least room - waste, least waste first.
+def fillings(room: int, counts: dict[int, int], lengths: list[int], waste: int, effort: list[float]) -> Iterator[tuple[int, ...]]:
+    """Undominated sets of pieces of at most `room`, at least room - waste.
 
-    A set is dominated if some of its pieces can be replaced by one larger piece that is left.
+    A set is dominated if one of its pieces, or two, can be replaced by one larger piece that is left.  Takes 1 off
+    effort[0] for each set looked at, and raises StopSearch below 0.
     """
-    if room in counts:
-        return [(room,)]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    looked = 0
+    if room in counts:  # one piece fills it: every other set is dominated
+        yield (room,)
+        return
 
     def dominated(some: tuple[int, ...], slack: int) -> bool:
         sums = {x for x in some} | {a + b for i, a in enumerate(some) for b in some[i + 1 :]}
@@ -181,30 +196,39 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], waste: int)
                 at += 1
         return False
 
-    def extend(some: tuple[int, ...], left: int, top: int) -> None:
-        nonlocal looked
-        looked += 1
-        at = bisect_left(lengths, min(left, top) + 1) - 1
-        fits = False
-        while at >= 0 and looked < LOOK and not (len(found) >= WIDTH and found[-1][0] == 0):
+    if not lengths or lengths[0] > room:
+        if room <= waste:
+            yield ()
+        return
+    # depth first with a stack of its own: pieces so far, room left, next place in lengths, whether any piece fits
+    stack: list[list] = [[(), room, bisect_left(lengths, room + 1) - 1, False]]
+    while stack:
+        some, left, at, fits = top = stack[-1]
+        if at >= 0:
+            top[2] -= 1
             x = lengths[at]
-            at -= 1
-            if some.count(x) >= counts[x]:
-                continue
-            fits = True
-            extend((*some, x), left - x, x)
+            if some.count(x) < counts[x]:
+                top[3] = True
+                effort[0] -= 1
+                if effort[0] < 0:
+                    raise StopSearch
+                stack.append([(*some, x), left - x, bisect_left(lengths, min(left - x, x) + 1) - 1, False])
+            continue
+        stack.pop()
         if not fits and left <= waste and some and not dominated(some, left):
-            insort(found, (left, some))
-            del found[4 * WIDTH :]
+            yield some
 
-    extend((), room, room)
-    if not found and not (lengths and lengths[0] <= room):
-        return [()] if room <= waste else []
-    return [s for _, s in found[:WIDTH]]
 
+class StopSearch(Exception):
+    """The effort allowed is spent."""
 
-def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
-    """Patterns of lengths and how often each is used; every piece is in one."""
+
+def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, effort: float | None = EFFORT, look: int = LOOK) -> list[Pattern]:
+    """Patterns of lengths and how often each is used; every piece is in one.
+
+    effort: sets of pieces looked at in all, at most; None searches until the packing is proved to have the
+    fewest bins.  look: sets of a node that are met before the best of them is tried; it decides the order alone.
+    """
     counts = {k: v for k, v in counts.items() if v > 0}
     if not counts:
         return []
@@ -214,41 +238,66 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     bins = sum(n for _, n in best)
     goal = lower_bound(counts, capacity)
     total = sum(k * v for k, v in counts.items())
-    if bins == goal:
-        return best
-    # depth first; each entry: what is left, patterns so far, bins so far, fillings still to try
-    tried = 0
+    left_effort = [float("inf") if effort is None else float(effort)]
+    seen: dict[tuple, int] = {}  # what is left -> fewest bins it was reached with
 
-    def options(left: dict[int, int], used: int) -> tuple[int, list[tuple[int, ...]]]:
+    def branches(left: dict[int, int], used: int, size: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings around the largest piece with how often each is applied: as often as the counts allow, or once."""
         largest = max(left)
         rest = dict(left)
         rest[largest] -= 1
         if not rest[largest]:
             del rest[largest]
-        spare = (bins - 1) * capacity - total - (used * capacity - (total - sum(k * v for k, v in left.items())))
-        return largest, fillings(capacity - largest, rest, sorted(rest), spare) if spare >= 0 else []
-
-    stack = [(counts, [], 0, options(counts, 0))]
-    while stack and tried < nodes and bins > goal:
-        left, patterns, used, (largest, some) = stack[-1]
-        if not some:
-            stack.pop()
-            continue
-        filling = some.pop(0)
-        tried += 1
-        pattern = (largest, *filling)
-        need = {x: pattern.count(x) for x in pattern}
-        times = min(left[x] // n for x, n in need.items())
-        after = {k: v - times * need.get(k, 0) for k, v in left.items()}
-        after = {k: v for k, v in after.items() if v}
-        done, so_far = used + times, [*patterns, (pattern, times)]
-        if not after:
-            if done < bins:
-                best, bins = so_far, done
-            continue
-        if done - (-sum(k * v for k, v in after.items()) // capacity) >= bins:
-            continue
-        stack.append((after, so_far, done, options(after, done)))
+
+        def spare() -> int:  # waste that a better packing can still have
+            return (bins - 1) * capacity - size - used * capacity
+
+        if spare() < 0:
+            return
+        some = fillings(capacity - largest, rest, sorted(rest), spare(), left_effort)
+        while True:
+            batch = []
+            for filling in some:
+                batch.append(filling)
+                if len(batch) == look or sum(filling) == capacity - largest:
+                    break
+            if not batch:
+                return
+            batch.sort(key=lambda f: -sum(f))
+            for filling in batch:
+                pattern = (largest, *filling)
+                times = min(left[x] // pattern.count(x) for x in set(pattern))
+                for t in (times, 1) if times > 1 else (1,):
+                    if capacity - sum(pattern) <= spare():
+                        yield pattern, t
+
+    stack = [(counts, [], 0, total, branches(counts, 0, total))]
+    try:
+        while stack and bins > goal:
+            left, patterns, used, size, some = stack[-1]
+            pattern, times = next(some, (None, 0))
+            if pattern is None:
+                stack.pop()
+                continue
+            after = dict(left)
+            for x in pattern:
+                after[x] -= times
+            after = {k: v for k, v in after.items() if v}
+            done, so_far, size = used + times, [*patterns, (pattern, times)], size - times * sum(pattern)
+            if not after:
+                if done < bins:
+                    best, bins = so_far, done
+                continue
+            state = tuple(sorted(after.items()))
+            if done + -(-size // capacity) >= bins or seen.get(state, bins) <= done:
+                continue
+            if len(seen) < SEEN:
+                seen[state] = done
+            if done + lower_bound(after, capacity) >= bins:
+                continue
+            stack.append((after, so_far, done, size, branches(after, done, size)))
+    except StopSearch:
+        pass
     return best
 
 

@@ -54,6 +54,27 @@ def test_bins_are_the_fewest():
     assert better
 
 
+def test_exhaustive_search():
+    """Without a bound on its effort the search finds the fewest bins, also where best fit and the bound disagree."""
+    rng, better = random.Random(8), 0
+    for _ in range(150):
+        capacity = rng.choice([12, 30, 50])
+        items = Counter(rng.randint(max(1, capacity // 8), capacity * 6 // 10) for _ in range(rng.randint(1, 11)))
+        n = bins_of(items, capacity, effort=None, look=rng.choice([1, 3, 1000]))
+        assert n == fewest(list(items.elements()), capacity)
+        better += n < sum(k for _, k in packing.best_fit(dict(items), capacity))
+    assert better
+    # many of each: a filling is not best used as often as possible
+    assert bins_of({6: 4, 4: 2, 3: 8, 2: 4, 5: 2}, 10, effort=None) == fewest(list(Counter({6: 4, 4: 2, 3: 8, 2: 4, 5: 2}).elements()), 10)
+
+
+def test_long_runs_and_words(spark):
+    """Texts that the fast engine's pattern gives up on."""
+    long = ["x" + c * 1_000_000 + "y" for c in (" ", "\n", "\t")] + ["a" * 1_000_000, " \n" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    check(packing.pack_documents(docs).collect(), {i: [t] for i, t in enumerate(long)})
+
+
 def test_large_histograms():
     rng = random.Random(5)
     counts = {i: rng.randrange(10**6) for i in range(1, 1025)}
