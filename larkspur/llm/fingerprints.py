@@ -6,7 +6,10 @@ the K smallest of the union are a uniform sample of the union's shingles; the pa
 both hold estimates resemblance.  Below K shingles everything is exact.
 
 DataFrame functions only.  Cases: a null or wordless text has the empty fingerprint, which is like
-another empty one (1) and unlike any other (0); a text of fewer than five words is one shingle.
+another empty one (1) and unlike any other (0); a text of fewer than five words is one shingle; a very long
+text's hashes (8 bytes a word) are in memory at once, inside one row; equal texts, repeated rows among them, have equal
+fingerprints, and shingles that tie are one; an empty table gives an empty result; columns of docs that are
+named like a result (fingerprint, distinct_shingles, next_<name>) are replaced, all others are carried.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import free_names, words_of
 
 SHINGLE = 5
 K = 256
@@ -69,35 +72,42 @@ def with_next(docs: DataFrame, columns: dict[str, Column], then: dict[str, Colum
     """docs with next_<name> for each expression in `columns`, taken from the next row by key (after the last: the first).
 
     `then` adds columns, made once the first are there, and their next_<name> in turn.
-    The key is a whole number; null comes before all, and ties in any order.  Rows are dealt by
-    ranges of the key, cut at quantiles, and the first row of each range also goes to the end of the
-    range before it, so no task sees all rows.
+    The key is a whole number; null comes before all, and rows of one key follow a hash of all their columns, so
+    reruns agree.  Rows are dealt by ranges of (key, hash), whose bounds come from a narrow table of both, and the
+    first row of each range also goes to the end of the range before it: no task sees all rows, however
+    many share a key.  Columns of docs named next_<name> are replaced.
     """
+    v, t, at, block, to, range_, extra = free_names([*docs.columns, *columns, *(then or {})], "__v", "__t", "__at", "__block", "__to", "__range", "__extra")
     value = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    n, least = docs.agg(F.count(F.lit(1)), F.min(value)).first()
+    docs = docs.withColumns({v: value, t: F.xxhash64(*docs.columns)})
+    n = docs.count()
     many = max(1, min(1 << 16, n // rows_per_range))
-    cuts = docs.agg(F.percentile_approx(value, [i / many for i in range(1, many)], max(10_000, 8 * many))).first()[0] if many > 1 else []
-    bounds = sorted({x for x in cuts or []} | ({least} if n else {0}))
+    parts = docs.select(v, t).repartitionByRange(many, v, t).groupBy(F.spark_partition_id()).agg(F.min(F.struct(v, t)).alias("m"))
+    # one row a range
+    bounds = sorted({(r["m"][0], r["m"][1]) for r in parts.collect()}) if many > 1 else []
+    if not bounds:
+        bounds = [tuple(r) for r in docs.select(v, t).orderBy(v, t).limit(1).collect()] or [(0, 0)]
     side = max(1, math.isqrt(len(bounds)))
 
-    def numbers(values: list[int]) -> Column:  # folded to one literal
-        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-    v = F.col("__v")
-    block = F.size(F.filter(numbers(bounds[::side]), lambda b: b <= v)) - 1
-    within = F.size(F.filter(F.slice(numbers(bounds), F.col("__block") * side + 1, side), lambda b: b <= v)) - 1
-    placed = docs.withColumn("__v", value).withColumn("__block", block).withColumn("__at", F.col("__block") * side + within)
-    own = F.struct(F.col("__at").alias("range"), F.lit(0).alias("extra"))
-    copy = F.struct(F.pmod(F.col("__at") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("extra"))
-    first = F.get(numbers(bounds), F.col("__at")) == v
-    placed = placed.withColumn("__to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
-    placed = placed.withColumns({"__range": F.col("__to.range"), "__extra": F.col("__to.extra")})  # plain columns, so both windows share one exchange
-    order = Window.partitionBy("__range").orderBy("__extra", "__v")
-    out = placed.drop("__block", "__at", "__to").withColumns({f"next_{c}": F.lead(e).over(order) for c, e in columns.items()})
+    def numbers(values: list[tuple[int, int]]) -> Column:  # folded to one literal
+        one, two = (F.split(F.lit(",".join(str(x[i]) for x in values)), ",").cast("array<bigint>") for i in (0, 1))
+        return F.arrays_zip(one.alias("v"), two.alias("t"))
+
+    own_place = F.struct(F.col(v).alias("v"), F.col(t).alias("t"))
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= own_place)) - 1
+    placed = docs.withColumn(block, upto(numbers(bounds[::side])))
+    placed = placed.withColumn(at, F.col(block) * side + upto(F.slice(numbers(bounds), F.col(block) * side + 1, side)))
+    own = F.struct(F.col(at).alias("range"), F.lit(0).alias("extra"))
+    copy = F.struct(F.pmod(F.col(at) - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("extra"))
+    first = F.get(numbers(bounds), F.col(at)) == own_place
+    placed = placed.withColumn(to, F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
+    placed = placed.withColumns({range_: F.col(f"{to}.range"), extra: F.col(f"{to}.extra")})  # plain columns, so both windows share one exchange
+    order = Window.partitionBy(range_).orderBy(extra, v, t)
+    out = placed.drop(block, at, to).withColumns({f"next_{c}": F.lead(e).over(order) for c, e in columns.items()})
     if then:
         out = out.withColumns(then)
         out = out.withColumns({f"next_{c}": F.lead(c).over(order) for c in then})
-    return out.filter(F.col("__extra") == 0).drop("__range", "__extra", "__v")
+    return out.filter(F.col(extra) == 0).drop(range_, extra, v, t)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K) -> DataFrame:

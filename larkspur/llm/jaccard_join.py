@@ -22,8 +22,11 @@ Nothing is capped, and no list, component or link is collected: hot lists are pr
 their pivot and joined by adaptive skew joins.
 
 Cases: a null or wordless text has the empty set and links with nothing; a text of fewer words
-than a shingle is one shingle; a null id comes before all others; rows that share an id are one
-document, whose links are those of any of them; an empty table gives an empty result.
+than a shingle is one shingle; rows are documents, whatever their ids: of rows that share an id, or have none, each has the
+links of its own text only; a component's id is the least that is not null; a very long text is one
+Arrow row, hashed in pieces, and a pair is probed with both sets (8 bytes a shingle) in memory; repeated rows are one class; shingles
+that tie in frequency go by hash; an empty table gives an empty result; ids are whole numbers (others are cast, and raise where
+they cannot be); other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -54,14 +57,13 @@ SENT = 500_000
 PROBED = 500
 #: List entries to expect of a document; sizes the sketch and decides nothing else.
 ENTRIES_PER_DOCUMENT = 128
-_NULL = -(2**63)
 _HEAVY = 1 << 62
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """(id, sorted distinct 62-bit shingle hashes) of each row (id, text); A-Z count as a-z."""
     data, offsets = text_bytes(batch.column(1))
-    ids = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
+    ids = batch.column(0).to_numpy()
     for lo, hi in pieces(offsets):
         body, inner = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, stops, first = word_spans(body, inner)
@@ -94,24 +96,24 @@ def needed(m: Column, n: Column) -> Column:
 
 
 def _facts(texts: DataFrame) -> DataFrame:
-    """In one pass: k, n, c1, c2 (the class) of each row, and token, count of shingles that are frequent in a batch, equal sets counted once."""
+    """In one pass over (k, t, id): id, k, n, c1, c2 (the class) of each row, and token, count of shingles that are frequent in a batch, equal sets counted once."""
 
-    names = ["k", "n", "c1", "c2", "token", "count"]
+    names = ["id", "k", "n", "c1", "c2", "token", "count"]
 
-    def counted(sets: dict, rows: list) -> Iterator[pa.RecordBatch]:
+    def counted(sets: dict, ids: pa.Array, rows: list) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(np.array(x, dtype=np.int64)) for x in zip(*rows)]
-        yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), pa.int64())] * 2], names=names)
+        yield pa.RecordBatch.from_arrays([ids, *columns, *[pa.nulls(len(rows), pa.int64())] * 2], names=names)
         if sets:
             tokens = np.concatenate(list(sets.values()))
             tokens.sort()
             first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
             n = np.diff(np.append(first, len(tokens)))
             keep = n >= max(2, FREQUENT * len(rows))
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(int(keep.sum()), pa.int64())] * 4, pa.array(tokens[first[keep]]), pa.array(n[keep].astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(int(keep.sum()), pa.int64())] * 5, pa.array(tokens[first[keep]]), pa.array(n[keep].astype(np.int64))], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, rows, size = {}, [], 0
+            sets, rows, size, at = {}, [], 0, 0
             for k, one in shingle_sets(batch):
                 name = _class_of(one)
                 rows.append((k, len(one), *name))
@@ -119,12 +121,13 @@ def _facts(texts: DataFrame) -> DataFrame:
                     sets[name] = one
                     size += len(one)
                 if size > COUNTED:
-                    yield from counted(sets, rows)
+                    yield from counted(sets, batch.column(2).slice(at, len(rows)), rows)
+                    at += len(rows)
                     sets, rows, size = {}, [], 0
             if rows:
-                yield from counted(sets, rows)
+                yield from counted(sets, batch.column(2).slice(at, len(rows)), rows)
 
-    return texts.mapInArrow(read, "k long, n long, c1 long, c2 long, token long, count long")
+    return texts.mapInArrow(read, "id long, k long, n long, c1 long, c2 long, token long, count long")
 
 
 def _frequent(facts: DataFrame, docs: int) -> np.ndarray:
@@ -136,7 +139,7 @@ def _frequent(facts: DataFrame, docs: int) -> np.ndarray:
 
 def _only(batch: pa.RecordBatch, tables: list[np.ndarray]) -> pa.RecordBatch:
     """The rows (id, text) whose id may be in the tables."""
-    ids = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
+    ids = batch.column(0).to_numpy()
     return batch.filter(pa.array(maybe_member(tables, ids)))
 
 
@@ -220,8 +223,7 @@ def _met(a: DataFrame, b: DataFrame, more: Column) -> DataFrame:
     """Pairs (x, y) from entries of common lists that share as many merged shingles as a link needs.
 
     Of two sets the one whose merged shingles end first has all of them below the other's end, so
-    those it does not share there it does not share at all.  Rows of different texts may share an id, so
-    a pair of ids needs what the least of its pairs of sets needs.
+    those it does not share there it does not share at all.
     """
     a, b = a.alias("a"), b.alias("b")
     need = needed(F.col("a.n"), F.col("b.n"))
@@ -302,22 +304,29 @@ def _links(entries: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     return links.union(_linked(scratch.keep(_met(open_lists.filter("part != main"), open_lists, apart)), texts, scratch))
 
 
+def named_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """k (a 64-bit hash of id and text, a row's name), id (the key as a long) and t."""
+    return docs.select(F.xxhash64(key, F.col(key).isNull(), text).alias("k"), F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles and component_id (the least key reachable by links) for each row of docs."""
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"), F.col(text).alias("t"))
-    facts = checkpointed(_facts(texts))
-    signed = facts.filter("token IS NULL").select("k", "n", "c1", "c2")
-    classes = checkpointed(signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("k").alias("rep")))
-    reps = classes.select("c1", "c2", F.col("n").alias("cn"), "rep")
-    placed = signed.alias("s").join(reps.alias("r"), (F.col("s.c1") == F.col("r.c1")) & (F.col("s.c2") == F.col("r.c2")) & (F.col("s.n") == F.col("r.cn")), "left").select("k", F.col("s.n").alias("n"), F.coalesce("rep", "k").alias("rep"))
-    placed = checkpointed(placed)
+    """key, n_shingles and component_id (the least key reachable by links; null only where no row reached has one) for each row of docs."""
+    rows = named_rows(docs, text, key)
+    texts = rows.select("k", "t")
+    facts = checkpointed(_facts(rows.select("k", "t", "id")))
+    signed = facts.filter("token IS NULL").select("k", "id", "n", "c1", "c2")
+    classes = checkpointed(signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("k").alias("rep"), F.min("id").alias("least")))
+    reps = classes.select("c1", "c2", F.col("n").alias("cn"), "rep", "least")
+    placed = signed.alias("s").join(reps.alias("r"), (F.col("s.c1") == F.col("r.c1")) & (F.col("s.c2") == F.col("r.c2")) & (F.col("s.n") == F.col("r.cn")), "left")
+    placed = checkpointed(placed.select("id", F.col("s.n").alias("n"), "rep", F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("least")).alias("least")))
     with Scratch(docs.sparkSession) as scratch:
         short = scratch.keep(_short_lists(texts, classes.select("rep"), _frequent(facts, signed.count())))
-        # rows that share an id are one document: its sets' classes are joined by the id
-        several = scratch.keep(placed.groupBy("k").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("k"))
-        own = scratch.keep(placed.select("k", "rep").distinct()).join(several, "k").filter("k != rep").select(F.col("k").alias("x"), F.col("rep").alias("y"))
-        groups = components(_links(scratch.keep(_entries(short)), texts, scratch).union(own))
-
-    out = placed.join(groups, placed["rep"] == groups["node"], "left").select("k", "n", F.coalesce("component", "rep").alias("component_id"))
-    real = lambda c: F.when(F.col(c) == _NULL, None).otherwise(F.col(c))
-    return out.select(real("k").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))
+        groups = components(_links(scratch.keep(_entries(short)), texts, scratch))
+        # one row a class that links with another; the least key of a component is that of its classes
+        grouped = scratch.keep(classes.select("rep", "least").join(groups, F.col("rep") == F.col("node")).select("rep", "least", "component"))
+        tops = scratch.keep(grouped.groupBy("component").agg(F.min("least").alias("top")))
+        moved = checkpointed(grouped.join(tops, "component").select(F.col("rep").alias("node"), "top"))
+
+    out = placed.join(moved, placed["rep"] == moved["node"], "left")
+    component = F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("top"))
+    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))

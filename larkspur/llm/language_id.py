@@ -9,9 +9,10 @@ The weights are log odds of n-gram counts over a bounded sample (SAMPLE texts pe
 least by a seeded hash of the id, of labelled texts outside the held-out third); the size of the
 model is fixed.  Prediction reads whole texts only, never a label, source or id.
 
-Cases: null texts and texts without a letter get `und` and score 0; with no labelled text
-everything is `und`; a null language is no label; repeated rows fare alike; an empty table gives an
-empty result.
+Cases: null texts and texts without a letter (Unicode L*; not digits or fractions) get `und` and score 0; with no labelled text
+everything is `und`; a null language is no label; a very long text is read in pieces of 256 kB; of losses that tie the language first by
+name is taken (and the text is ambiguous); repeated rows fare alike; an empty table gives an
+empty result; other columns are carried, those named like a result are replaced (see `names`).
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ REDUNDANCY = 5
 MARGIN = 0.05
 SEED = 41
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter, to find the first quickly; str.isalpha decides (numbers like ½ are not letters).
+_WORDY = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _SPACES = [0x20, *range(0x09, 0x0E)]
@@ -48,6 +50,11 @@ _LOWER[48:58] = 48  # digits are alike
 _MIX = np.uint32(0x9E3779B1)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a Unicode category L*."""
+    return any(m[0].isalpha() for m in _WORDY.finditer(text))
+
+
 def features(body: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(n, hashed n-gram that starts at each byte) of lower-cased bytes."""
     x = _LOWER[body]
@@ -167,11 +174,11 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     return Model(languages, code, whole.astype(np.float32), 4.0 / np.maximum(spread, 1e-6), np.maximum(right - 0.5, 0.05))
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and ambiguous."""
+def identify(docs: DataFrame, model: Model | None, text: str = "text", margin: float = MARGIN, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with the language, a score (0 to 1) and whether it is ambiguous, named by `names`; columns of docs with these names are replaced."""
     # plain values: a broadcast names classes, which executors may not have
     held = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)
-    plain = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")])
+    plain = docs.select(*[c for c in docs.columns if c not in names])
     at = plain.columns.index(text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
 
@@ -183,7 +190,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", margin: f
             for lo, hi in pieces(offsets):
                 raw = data[offsets[lo] : offsets[hi]].tobytes()
                 inner = offsets[lo : hi + 1] - offsets[lo]
-                lettered = [bool(_LETTER.search(raw[inner[i] : inner[i + 1]].decode("utf-8", "replace"))) for i in range(hi - lo)]
+                lettered = [has_letter(raw[inner[i] : inner[i + 1]].decode("utf-8", "replace")) for i in range(hi - lo)]
                 if model is None:
                     losses = None
                 else:
@@ -199,6 +206,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", margin: f
                     langs.append(model.languages[best])
                     scores.append(float(odds[best] / odds.sum()))
                     unclear.append(bool(len(rest) and rest.min() - loss[best] < margin))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unclear, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unclear, pa.bool_())], names=[*batch.schema.names, *names])
 
-    return plain.mapInArrow(predict, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return plain.mapInArrow(predict, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

@@ -10,8 +10,10 @@ documents is one row a task; the join back to the places is left to adaptive exe
 splits skewed partitions.
 
 Cases: a null text stays null and has no lines; texts of fewer than three lines are left as they
-are; windows of blank lines only are no windows; rows that share id and text are one document and
-fare alike; an empty table gives an empty result; other columns are carried (names that begin with two underscores are ours).
+are; a very long text is one row whose lines are in memory at once; windows of lines that are empty or of spaces (0x20)
+only are no windows, while a carriage return or tab is content, so blank lines of CRLF files count as lines like any
+other; a line keeps its carriage return; a null id comes before all others; rows that share id and text are one document and
+fare alike; an empty table gives an empty result; other columns are carried, those named like the counts are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_names
 
 WINDOW = 3
 
@@ -29,10 +31,11 @@ def _let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with `text` cleaned, and n_lines and n_removed added."""
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with `text` cleaned, and two counts added, named by `names`; columns of docs with these names are replaced."""
+    docs = docs.drop(*names)
     lines = F.split(F.col(text), "\n")
-    clash = f"__{key}"
+    runs_, hash_, clash, t_, lines_, gone_, cleaned_ = free_names([*docs.columns, *names], "__runs", "__h", "__key", "__t", "__n_lines", "__gone", "__cleaned")
 
     def windows(parts):
         one = F.transform(parts, lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.trim(x) == "").alias("blank")))
@@ -51,18 +54,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     by_doc = Window.partitionBy("k", "t").orderBy("pos")
     later = later.withColumn("run", F.sum(F.when(F.col("pos") - F.lag("pos").over(by_doc) <= WINDOW, 0).otherwise(1)).over(by_doc))
     runs = later.groupBy("k", "t", "run").agg(F.min("pos").alias("start"), (F.max("pos") + WINDOW).alias("end"))
-    runs = runs.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__runs")).select(F.col("k").alias(clash), F.col("t").alias("__t"), "__runs")
-    found = docs.withColumn("__h", F.xxhash64(text))
-    found = found.join(runs, found[key].eqNullSafe(runs[clash]) & (found["__h"] == runs["__t"]), "left")
+    runs = runs.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(runs_)).select(F.col("k").alias(clash), F.col("t").alias(t_), runs_)
+    found = docs.withColumn(hash_, F.xxhash64(text))
+    found = found.join(runs, found[key].eqNullSafe(runs[clash]) & (found[hash_] == runs[t_]), "left")
 
     def kept(parts):
-        n, r = F.size(parts), F.col("__runs")
+        n, r = F.size(parts), F.col(runs_)
         begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(r, k - 1)["end"])
         stop = lambda k: F.when(k == F.size(r), n).otherwise(F.get(r, k)["start"])
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(r)), lambda k: F.slice(parts, begin(k) + 1, stop(k) - begin(k))))
 
-    cleaned = F.when(F.col("__runs").isNull(), F.col(text)).otherwise(F.array_join(_let(lines, kept), "\n"))
-    gone = F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0)).cast("long")
+    cleaned = F.when(F.col(runs_).isNull(), F.col(text)).otherwise(F.array_join(_let(lines, kept), "\n"))
+    gone = F.coalesce(F.aggregate(runs_, F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0)).cast("long")
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    out = found.withColumn("__n_lines", n_lines).withColumn("__gone", gone).withColumn("__cleaned", cleaned)
-    return out.select(*[F.col("__cleaned").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], F.col("__n_lines").alias("n_lines"), F.col("__gone").alias("n_removed"))
+    out = found.withColumn(lines_, n_lines).withColumn(gone_, gone).withColumn(cleaned_, cleaned)
+    return out.select(*[F.col(cleaned_).alias(text) if c == text else F.col(c) for c in docs.columns], F.col(lines_).alias(names[0]), F.col(gone_).alias(names[1]))

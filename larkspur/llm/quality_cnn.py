@@ -6,12 +6,14 @@ response in the chunk.  The mean and the maximum over the chunks feed one logist
 of label 1.
 
 The filters are trained with Adam on at most SAMPLE texts a label (the least by a seeded hash of the
-id, outside the held-out third) and at most TRAIN_CHUNKS random chunks of each; scoring reads every
-chunk of every text, in pieces, so memory does not depend on the length of a text.  A score depends
-on the text alone.
-
-Cases: null and empty texts are one empty chunk and get a score like any other; null labels are none; with no label,
-or one label only, the score is its share (0.5 if none); repeated rows fare alike; an empty table gives an empty result.
+id, outside the held-out third) and at most POOL random chunks of each; scoring reads every
+chunk of every text, in pieces.  A score depends on the text alone.
+
+Cases: null and empty texts are one empty chunk and get a score like any other; null labels and null ids of labels are none; a
+very long text is one Arrow row, scored in groups of chunks, and gives POOL chunks to training; with no label,
+or one label only, the score is its share (0.5 if none); an id labelled both ways trains both; of rows that share a labelled id one
+is trained on; score 0.5 is label 1; repeated rows fare alike; an empty table gives an empty result; other columns are carried, those
+named like a result are replaced (see `names`).
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ STEP = CHUNK - OVERLAP
 WIDTH, STRIDE = 12, 4
 EMBED, FILTERS = 8, 24
 SAMPLE = 1200
-TRAIN_CHUNKS = 3
+#: Chunks of a text that reach the driver at most, and that one step of training sees.
+POOL, TRAIN_CHUNKS = 8, 3
 EPOCHS, BATCH, RATE = 14, 64, 0.01
 SEED = 53
 #: Chunks convolved at a time.
@@ -123,13 +126,15 @@ class Network:
         at = y.argmax(1)
         pool = np.take_along_axis(y, at[:, None, :], 1)[:, 0]
         count = np.bincount(who, minlength=n).astype(np.float32)[:, None]
-        mean, most = np.zeros((n, FILTERS), dtype=np.float32), np.zeros((n, FILTERS), dtype=np.float32)
+        mean, most, ties = (np.zeros((n, FILTERS), dtype=pool.dtype) for _ in range(3))
         np.add.at(mean, who, pool)
         mean /= np.maximum(count, 1)
         np.maximum.at(most, who, pool)
-        error = ((self.probability(mean, most) - labels) / n).astype(np.float32)
+        top = pool == most[who]
+        np.add.at(ties, who, top)  # chunks overlap, so a text's maximum may be met twice
+        error = ((self.probability(mean, most) - labels) / n).astype(pool.dtype)
         d_out = np.concatenate([mean, most], axis=1).T @ error
-        d_pool = (error[:, None] * self.out[:FILTERS] / np.maximum(count, 1))[who] + error[who][:, None] * self.out[FILTERS:] * (pool == most[who])
+        d_pool = (error[:, None] * self.out[:FILTERS] / np.maximum(count, 1))[who] + error[who][:, None] * self.out[FILTERS:] * (top / np.maximum(ties, 1)[who])
         d_pool[pool <= 0] = 0
         d_embed, d_filters = np.zeros_like(self.embed), np.zeros_like(self.filters)
         rows, columns = np.nonzero(d_pool)
@@ -140,15 +145,17 @@ class Network:
         back = (self.filters.T[columns] * g[:, None]).reshape(len(g), WIDTH, EMBED)
         np.add.at(d_embed, seen, back)
         d_embed[0] = 0
-        return [d_embed, d_filters, d_pool.sum(0), d_out, np.array([error.sum()], dtype=np.float32)]
+        return [d_embed, d_filters, d_pool.sum(0), d_out, np.array([error.sum()], dtype=pool.dtype)]
+
 
+Chunks = tuple[np.ndarray, np.ndarray]
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Train a network; rarer labels are drawn as often as others."""
+
+def fit(cut: list[Chunks], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+    """Train a network on each text's chunks and steps; rarer labels are drawn as often as others."""
     rng = np.random.Generator(np.random.PCG64(seed))
     net = Network(seed)
     net.embed[0] = 0
-    cut = [chunks_of(np.frombuffer(t, dtype=np.uint8)) for t in texts]
     sides = [np.flatnonzero(labels == v) for v in (0, 1)]
     half = max(len(s) for s in sides)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
@@ -170,22 +177,45 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
+def some_chunks(body: np.ndarray, most: int, seed: int) -> Chunks:
+    """At most `most` chunks of a text, drawn by the seed and the text's length."""
+    chunks, steps = chunks_of(body)
+    if len(chunks) <= most:
+        return chunks, steps
+    at = np.sort(np.random.Generator(np.random.PCG64([seed, len(body)])).choice(len(chunks), most, replace=False))
+    return chunks[at], steps[at]
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Network | float:
-    """A network, or the share of label 1 where there is nothing to tell apart."""
-    known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(key))).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_label"))
-    sides = [least_by_hash(known.filter(F.col("_label") == v), F.xxhash64("_k", F.lit(SEED)), sample, "_k") for v in (0, 1)]
-    chosen = sides[0].union(sides[1])  # 2 * sample rows at most, so it may be broadcast
-    rows = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), F.col(key) == F.col("_k")).select("_k", "_label", F.coalesce(text, F.lit("")).alias("t")).collect()
-    rows.sort(key=lambda r: (r["_k"], r["_label"], r["t"]))
-    marks = np.array([r["_label"] for r in rows], dtype=np.float32)
-    if not len(rows) or marks.min() == marks.max():
-        return float(marks.mean()) if len(rows) else 0.5
-    return fit([r["t"].encode() for r in rows], marks)
-
-
-def scored(docs: DataFrame, model: Network | float, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (0 or 1)."""
-    plain = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
+    """A network, or the share of label 1 where there is nothing to tell apart.
+
+    The driver gets POOL chunks of each chosen text at most, cut where the text is read.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_label"))
+    known = known.distinct().withColumn("_o", F.xxhash64("_k", F.lit(SEED)))
+    sides = [least_by_hash(known.filter(F.col("_label") == v), "_o", sample, "_k") for v in (0, 1)]
+    chosen = sides[0].union(sides[1]).select("_k", "_label")  # 2 * sample rows at most, so it may be broadcast
+    rows = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), F.col(key) == F.col("_k")).select(F.xxhash64("_k").alias("o"), "_label", F.col(text).alias("t"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            for i in range(batch.num_rows):
+                chunks, steps = some_chunks(data[offsets[i] : offsets[i + 1]], POOL, SEED)
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in (0, 1)), pa.array([chunks.tobytes()], pa.binary()), pa.array([steps.astype(np.int64).tobytes()], pa.binary())], names=["o", "_label", "c", "s"])
+
+    # one row an id and label, however often its row repeats
+    made = rows.mapInArrow(cut, "o long, _label int, c binary, s binary").groupBy("o", "_label").agg(F.min(F.struct("c", "s")).alias("m")).collect()
+    made.sort(key=lambda r: (r["o"], r["_label"]))
+    marks = np.array([r["_label"] for r in made], dtype=np.float32)
+    if not len(made) or marks.min() == marks.max():
+        return float(marks.mean()) if len(made) else 0.5
+    return fit([(np.frombuffer(r["m"]["c"], dtype=np.uint8).reshape(-1, CHUNK), np.frombuffer(r["m"]["s"], dtype=np.int64)) for r in made], marks)
+
+
+def scored(docs: DataFrame, model: Network | float, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with a score (0 to 1) and its verdict (0 or 1), named by `names`; columns of docs with these names are replaced."""
+    plain = docs.select(*[c for c in docs.columns if c not in names])
     at = plain.columns.index(text)
     # plain values: a broadcast names classes, which executors may not have
     held = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, float) else model.parameters())
@@ -199,6 +229,6 @@ def scored(docs: DataFrame, model: Network | float, text: str = "text") -> DataF
             if not isinstance(model, float):
                 for lo, hi in pieces(offsets):
                     out[lo:hi] = model.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*batch.schema.names, *names])
 
-    return plain.mapInArrow(score, f"{fields}, score double, predicted int")
+    return plain.mapInArrow(score, f"{fields}, `{names[0]}` double, `{names[1]}` int")

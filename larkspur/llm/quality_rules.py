@@ -1,15 +1,17 @@
 """Quality rules and an isolation forest on their statistics.
 
 Statistics of whole texts are counted on bytes with numpy (statistics()).  An isolation forest cuts
-random subsamples by random splits of ratios of these statistics; texts that few cuts isolate are
-anomalous.  The forest is fitted on a bounded sample (SAMPLE rows, the least by a seeded hash of
-the id among labelled rows that are not held out); the threshold on its score comes from all labelled
-rows but those held out (held_out(), about a third of the ids, left for judging it), as counts by score: the one that finds most bad documents while it loses at most MAX_LOSS of the
-good ones.  Without labelled rows of both kinds the threshold is DEFAULT_THRESHOLD.
+random subsamples by random splits of how far ratios of these statistics leave their ordinary range (Excess); texts that
+few cuts isolate are anomalous.  The forest needs no labels: it is fitted on SAMPLE rows of all that pass the base rules,
+the least by a seeded hash.  The ordinary range is that of all but a few labelled good rows (SAMPLE of them at
+most), or, where none is labelled, the middle half of the sample.  The threshold on the score comes from all labelled
+rows but those held out (held_out(), about a third of the ids, left for judging it), as counts by score: the one that finds
+most bad documents while it loses at most MAX_LOSS of the good ones.  Without labelled rows of both kinds it is DEFAULT_THRESHOLD.
 
 Cases: a null or empty text has all counts 0 (and so fails the base rules); null labels are none;
-a document labelled more than once counts each time; repeated rows are judged alike; an empty
-table gives an empty result.
+a document labelled more than once counts each time; a very long text is one Arrow row, hashed in pieces; scores that
+tie with the threshold are dropped; repeated rows are judged alike; an empty
+table gives an empty result; other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ SAMPLE = 8192
 TREE_ROWS = 32
 TREES = 200
 MAX_LOSS = 0.005
-#: Part of good rows beyond each end of a ratio's ordinary range.
-TAIL = 0.001
+#: Part of rows beyond each end of a ratio's ordinary range: of labelled good ones; of any, where none is labelled.
+TAIL, WIDE_TAIL = 0.001, 0.25
 DEFAULT_THRESHOLD = 0.65
 SEED = 29
 
@@ -120,16 +122,22 @@ def ratios(counts: dict[str, np.ndarray]) -> np.ndarray:
     ])
 
 
+def _ratios_of(rows: DataFrame) -> np.ndarray:
+    """Ratios of a bounded sample of rows, on the driver."""
+    got = rows.select(*COUNTS).toPandas()
+    return ratios({c: got[c].to_numpy() for c in COUNTS})
+
+
 class Excess:
-    """How far each ratio lies outside the range of all but a few good rows, from 0 (inside) towards 1.
+    """How far each ratio lies outside the range of all but a part `tail` of ordinary rows at each end, from 0 (inside) towards 1.
 
     Ordinary rows become equal, so that the forest isolates what breaks a rule and not what is merely
     at the edge of the ordinary.
     """
 
-    def __init__(self, good: np.ndarray, tail: float = TAIL):
-        self.low, self.high = np.quantile(good, [tail, 1 - tail], axis=0)
-        self.unit = np.maximum(good.std(axis=0), 1e-9)
+    def __init__(self, ordinary: np.ndarray, tail: float = TAIL):
+        self.low, self.high = np.quantile(ordinary, [tail, 1 - tail], axis=0)
+        self.unit = np.maximum(ordinary.std(axis=0), 1e-9)
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         x = (np.maximum(rows - self.high, 0) + np.maximum(self.low - rows, 0)) / self.unit
@@ -192,13 +200,13 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counts = checkpointed(counts.withColumn("base_failed", failed))
     marks = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_label")).filter(~held_out(F.col("_k")))
-    marked = counts.filter("NOT base_failed").join(marks, counts[key] == marks["_k"])
-    some = least_by_hash(marked, F.xxhash64(key, F.lit(SEED)), sample, *COUNTS).select(*COUNTS, "_label").toPandas()
+    passing = counts.filter("NOT base_failed").withColumn("_o", F.xxhash64(key, *COUNTS, F.lit(SEED)))
+    some = _ratios_of(least_by_hash(passing, "_o", sample, *COUNTS))
+    good = _ratios_of(least_by_hash(passing.join(marks.filter("_label = 1"), passing[key] == marks["_k"]), "_o", sample, *COUNTS))
     view = forest = None
-    if (some["_label"] == 1).any():
-        seen_ratios = ratios({c: some[c].to_numpy() for c in COUNTS})
-        view = Excess(seen_ratios[(some["_label"] == 1).to_numpy()])
-        forest = IsolationForest(view(seen_ratios))
+    if len(some):
+        view = Excess(good) if len(good) else Excess(some, WIDE_TAIL)
+        forest = IsolationForest(view(some))
 
     kind = docs.schema[key].dataType.simpleString()
     columns = [key, *COUNTS, "base_failed"]

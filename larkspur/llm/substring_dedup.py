@@ -12,9 +12,14 @@ Nothing repeated is lost: a fuller sketch only lets more windows into the exact
 pre-aggregate in each task, so a window in a third of all documents is one row a task; the join is
 left to adaptive execution, which splits skewed partitions.
 
-Cases: a null text has no words; fewer words than a window are left alone; a null id comes before
-all others; rows that share an id are one document (none is earlier than the other, and a place
-removed from one is removed from all); an empty table gives an empty result.
+Places belong to a document's id and a 64-bit hash of its text, so rows that share an id, or have none, lose only
+what their own text repeats.
+
+Cases: a null text has no words; fewer words than a window are left alone; a very long text is one Arrow row, hashed
+in pieces of a few MB, and its places are one row of four bytes a word at most; a null id comes before
+all others and loses nothing; rows that share an id are equally early, so none takes words from another, and
+rows that share id and text fare alike; an empty table gives an empty result; ids are whole numbers (others are cast,
+and raise where they cannot be); other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -49,9 +54,9 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def _windows(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For pieces of a batch: document ids, and for each window its document's number in the piece, its first word, its word hashes' start, and its name; with the piece's word hashes."""
-    data, offsets = text_bytes(batch.column(1))
-    ids = batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
+    """For pieces of a batch (id, hash, text): ids and hashes, and for each window its document's number in the piece, its first word, its word hashes' start, and its name; with the piece's word hashes."""
+    data, offsets = text_bytes(batch.column(2))
+    ids = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
     for lo, hi in pieces(offsets):
         starts, stops, first = word_spans(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         if len(starts) < window:
@@ -75,10 +80,15 @@ def _names(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[np.ndarray
         yield name[once]
 
 
+def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """k (the id), h (a hash of the text) and t."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+
+
 def covered_places(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """key and `places`: the first words of each document's windows that also start in a document with a smaller key."""
+    """k, h and `places`: the first words of each document's windows that also start in a document with a smaller key."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    texts = _texts(docs, text, key)
     bits = sketch_bits(NAMES_PER_DOCUMENT * docs.count())
     often = spark.sparkContext.broadcast(repeated_bits(texts, lambda batch: _names(batch, window, gram), bits))
 
@@ -99,6 +109,7 @@ def covered_places(docs: DataFrame, text: str = "text", key: str = "doc_id", win
             if not found:
                 continue
             ids, a, b = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3))
+            ids = ids[:, 0]
             order = np.lexsort((ids, b, a))
             ids, a, b = ids[order], a[order], b[order]
             new = np.ones(len(a), dtype=bool)
@@ -112,28 +123,39 @@ def covered_places(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, place, a, b in estimated(batch):
-                yield pa.record_batch([pa.array(x) for x in (a, b, ids, place)], names=["a", "b", "k", "place"])
+                yield pa.record_batch([pa.array(x) for x in (a, b, ids[:, 0].copy(), ids[:, 1].copy(), place)], names=["a", "b", "k", "h", "place"])
 
     with Scratch(spark) as scratch:
         # kept as a table, so that the join below has plain exchanges on both sides and skewed windows can be split
         repeats = scratch.keep(texts.mapInArrow(ends, "a long, b int, least long, most long").groupBy("a", "b").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("a", "b", "least"))
-        later = texts.mapInArrow(occurrences, "a long, b int, k long, place int").join(repeats, ["a", "b"]).filter("k > least")
-        return checkpointed(later.groupBy("k").agg(F.collect_list("place").alias("places"))).withColumnRenamed("k", key)
+        later = texts.mapInArrow(occurrences, "a long, b int, k long, h long, place int").join(repeats, ["a", "b"]).filter("k > least")
+        # a set: however often a row repeats, its places are no more than its text has
+        return checkpointed(later.groupBy("k", "h").agg(F.collect_set("place").alias("places")))
+
+
+def _joined(text: bytes) -> str:
+    """The words of a text joined by one space: bytes split at the same characters as words here do."""
+    return b" ".join(text.split()).decode()
 
 
 def _cleaned(batch: pa.RecordBatch, lists: pa.Array | None, window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Words counted and kept, for rows (key, text) and the places to remove."""
-    data, offsets = text_bytes(batch.column(1))
+    """Words counted and kept, for rows (key, name, text) and the places to remove."""
+    data, offsets = text_bytes(batch.column(2))
     for lo, hi in pieces(offsets):
-        body = data[offsets[lo] : offsets[hi]]
-        starts, stops, first = word_spans(body, offsets[lo : hi + 1] - offsets[lo])
+        body, inner = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        starts, stops, first = word_spans(body, inner)
         raw, counts, gone, kept = body.tobytes(), [], [], []
         for i in range(hi - lo):
+            if lists is None:
+                whole = raw[inner[i] : inner[i + 1]]
+                counts.append(int(first[i + 1] - first[i]))
+                gone.append(0)
+                kept.append(_joined(whole))
+                continue
             s, e = starts[first[i] : first[i + 1]].tolist(), stops[first[i] : first[i + 1]].tolist()
             words = [raw[a:b] for a, b in zip(s, e)]
-            if lists is not None and lists[lo + i].is_valid:
+            if lists[lo + i].is_valid:
                 at = lists[lo + i].values.to_numpy()
-                at = at[at < len(s)]
                 change = np.zeros(len(s) + 1, dtype=np.int32)
                 np.add.at(change, at, 1)
                 np.add.at(change, np.minimum(at + window, len(s)), -1)
@@ -149,14 +171,16 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", w
 
     Only texts that lose words are moved to meet their places; a sketch of their keys tells them apart.
     """
-    places = covered_places(docs, text, key, window).withColumnRenamed(key, "_k")
-    rows = docs.select(F.col(key), F.col(text).alias("_t"))
-    hit = docs.sparkSession.sparkContext.broadcast(members(places.select("_k")))
+    places = covered_places(docs, text, key, window).select(F.col("k").alias("_k"), F.col("h").alias("_h"), "places")
+    # the key is carried as it is; _n names a row's document in the sketch
+    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("_k"), F.xxhash64(F.col(text)).alias("_h"), F.col(text).alias("_t"))
+    rows = rows.select("_id", F.xxhash64("_k", "_h").alias("_n"), "_t", "_k", "_h")
+    hit = docs.sparkSession.sparkContext.broadcast(members(places.select(F.xxhash64("_k", "_h"))))
     kind = docs.schema[key].dataType.simpleString()
-    names, schema = [key, "n_words", "n_removed", "kept_text"], f"`{key}` {kind}, n_words long, n_removed long, kept_text string"
+    names, schema = ["_id", "n_words", "n_removed", "kept_text"], f"_id {kind}, n_words long, n_removed long, kept_text string"
 
     def flags(batch: pa.RecordBatch) -> np.ndarray:
-        return maybe_member(hit.value, batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False))
+        return maybe_member(hit.value, batch.column(1).to_numpy())
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +192,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", w
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _cleaned(batch, batch.column(2), window, names)
+            yield from _cleaned(batch, batch.column(3), window, names)
 
-    moved = rows.mapInArrow(touched, f"`{key}` {kind}, _t string")
-    moved = moved.join(places, F.coalesce(moved[key].cast("long"), F.lit(_NULL)) == places["_k"], "left").select(key, "_t", "places")
-    return rows.mapInArrow(untouched, schema).unionByName(moved.mapInArrow(clean, schema))
+    moved = rows.mapInArrow(touched, f"_id {kind}, _n long, _t string, _k long, _h long")
+    moved = moved.join(places, ["_k", "_h"], "left").select("_id", "_n", "_t", "places")
+    return rows.select("_id", "_n", "_t").mapInArrow(untouched, schema).unionByName(moved.mapInArrow(clean, schema)).withColumnRenamed("_id", key)

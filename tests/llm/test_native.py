@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from larkspur.llm import fingerprints, line_dedup, mixing, queries, sharding
@@ -234,6 +235,18 @@ def true_likeness(a, b):
     return len(s[0] & s[1]) / len(s[0] | s[1]) if s[0] | s[1] else 1.0
 
 
+def plain_fingerprint(text):
+    """The 256 least XXH64 hashes, seed 42, chained over a shingle's word hashes."""
+    h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words(text)]
+    out = set()
+    for i in range(max(1, len(h) - 4) if h else 0):
+        one = 42
+        for x in h[i : i + 5]:
+            one = xxhash.xxh64(x.to_bytes(8, "little"), seed=one).intdigest()
+        out.add(one - 2**64 if one >= 2**63 else one)
+    return " ".join(f"{x % 2**64:x}" for x in sorted(out)[:256])
+
+
 def test_fingerprint_query(spark):
     got = by_id(queries.op10_bottom_k_fingerprints(spark, SF))
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -247,6 +260,8 @@ def test_fingerprint_query(spark):
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(t)
         assert abs(r["near_edited"] - true_likeness(t, edited)) < 0.15 and abs(r["near_next"] - true_likeness(t, after)) < 0.15
         assert same.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        if i % 7 == 0:
+            assert r["fingerprint"] == plain_fingerprint(t) and r["edited_fingerprint"] == plain_fingerprint(edited)
 
 
 def test_next_row_over_ranges(spark):
@@ -267,6 +282,21 @@ def test_next_row_of_odd_rows(spark):
     assert [r["next_text"] for r in one] == ["a"]
 
 
+def test_next_row_of_shared_ids(spark):
+    """Rows of one id follow a hash of all they hold, whatever the order of the input; a hot id spans ranges."""
+    rows = [(5 if i % 3 else None if i % 2 else i, f"t{i}") for i in range(120)]
+    runs = [sorted(((r["text"], r["next_text"]) for r in fingerprints.with_next(spark.createDataFrame(some, "doc_id long, text string").repartition(n), {"text": F.col("text")}, rows_per_range=5).collect())) for some, n in ((rows, 2), (rows[::-1], 5))]
+    assert runs[0] == runs[1] and sorted(n for _, n in runs[0]) == sorted(t for _, t in rows)
+    ids = {t: k for k, t in rows}
+    rank = lambda k: -(10**9) if k is None else k
+    assert sum(rank(ids[n]) < rank(ids[t]) for t, n in runs[0]) == 1  # the last goes to the first
+    after, at, seen = dict(runs[0]), "t1", set()
+    while at not in seen:
+        seen.add(at)
+        at = after[at]
+    assert len(seen) == 120
+
+
 def test_sketches_merge_and_estimate(spark):
     a, b = " ".join(f"w{i}" for i in range(4000)), " ".join(f"w{i}" for i in range(2000, 6000))
     f = lambda t: fingerprints.fingerprint(F.lit(t))

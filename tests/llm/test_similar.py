@@ -106,7 +106,7 @@ def test_count_filter_of_shared_ids(spark):
     assert [tuple(r) for r in jaccard_join._met(a, b, F.col("a.rep") != F.col("b.rep")).collect()] == [(1, 2)]
 
 
-def test_shared_ids_have_the_links_of_any_row(spark):
+def test_rows_of_shared_ids_keep_apart(spark):
     """Beside a text that links, an id holds a larger one that shares a few shingles, or texts of several groups."""
     rng = random.Random(11)
     make = lambda name, k: " ".join(f"{name}{i}" for i in range(k))
@@ -120,11 +120,16 @@ def test_shared_ids_have_the_links_of_any_row(spark):
         if 100 * len(one & other) >= 80 * len(one | other):
             want[1000 + i] = want[2000 + i] = {1000 + i}
     docs += [(5, make("p", 50)), (7, make("p", 50)), (7, make("q", 50)), (7, ""), (9, make("q", 50) + " tail")]
+    docs += [(None, make("p", 50)), (None, make("r", 50)), (None, make("s", 50)), (None, make("s", 50)), (4, make("r", 50) + " tail"), (None, None)]
     got = {}
     for r in jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect():
-        got.setdefault(r["doc_id"], set()).add(r["component_id"])
-    assert len(want) > 60 and {k: got[k] for k in want} == want
-    assert got[5] == got[7] == got[9] == {5}
+        got.setdefault(r["doc_id"], []).append((r["n_shingles"], r["component_id"]))
+    assert len(want) > 60
+    for k in want:
+        assert {c for _, c in got[k]} == ({1000 + k % 1000} if k < 2000 else {1000 + k % 1000, k})
+    # rows as nodes: the texts of 7 belong to the groups of 5, of itself, and to none
+    assert [c for _, c in got[5]] == [5] and sorted(got[7]) == [(0, 7), (46, 5), (46, 7)] and [c for _, c in got[9]] == [7]
+    assert sorted(got[None], key=repr) == sorted([(46, 5), (46, 4), (46, None), (46, None), (0, None)], key=repr) and [c for _, c in got[4]] == [4]
 
 
 # --- substring dedup
@@ -160,6 +165,12 @@ def test_substrings_of_odd_tables(spark):
     extra = with_null_id(spark)
     rows = substring_dedup.dedup_substrings(extra).collect()
     assert len(rows) == extra.count()
+    shared = [(1, " ".join(f"a{i}" for i in range(80))), (2, " ".join(f"a{i}" for i in range(80))), (2, " ".join(f"b{i}" for i in range(80))), (3, " ".join(f"b{i}" for i in range(10, 90)))]
+    shared += [(None, "c " * 60), (None, " ".join(f"a{i}" for i in range(70))), (5, "c " * 60 + "d"), (5, "c " * 60 + "d")]
+    got = sorted(((r["doc_id"], r["n_removed"], r["kept_text"]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(shared, "doc_id long, text string")).collect()), key=repr)
+    b = [f"b{i}" for i in range(90)]
+    want = [(1, 70, " ".join(f"a{i}" for i in range(70, 80))), (2, 80, ""), (2, 0, " ".join(b[:80])), (3, 70, " ".join(b[80:])), (None, 0, "c " * 59 + "c"), (None, 0, shared[5][1]), (5, 60, "d"), (5, 60, "d")]
+    assert got == sorted(want, key=repr)
     by = {}
     for r in rows:
         by.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"]))
