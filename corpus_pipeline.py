@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from larkspur.llm.common import WORD, read_table, remove, shared_folder
+from larkspur.llm.common import WORD, free_names, read_table, remove, shared_folder
 
 WEIGHTS = [3, 1, 2]
 BUDGET_SHARE = 1.5
@@ -23,15 +23,17 @@ SEED = 17
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no letter, or two languages too close to tell apart."""
-    told = language_id.identify(docs, language_id.train(docs))
-    return told.filter((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    lang, score, unclear = names = tuple(free_names(docs.columns, "lang_pred", "score", "ambiguous"))
+    told = language_id.identify(docs, language_id.train(docs), names=names)
+    return told.filter((F.col(lang) != language_id.UNKNOWN) & ~F.col(unclear)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated three-line windows; a document that had words and keeps none goes."""
-    cleaned = line_dedup.dedup_lines(docs)
-    kept = (F.col("n_removed") == 0) | (F.trim(F.col("text")) != "")
-    return cleaned.filter(kept).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_lines, gone = names = tuple(free_names(docs.columns, "n_lines", "n_removed"))
+    cleaned = line_dedup.dedup_lines(docs, names=names)
+    kept = (F.col(gone) == 0) | (F.trim(F.col("text")) != "")
+    return cleaned.filter(kept).withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,18 +44,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    some = docs.filter(worded).withColumn("_k", key)
-    groups = jaccard_join.near_duplicates(some, key="_k").select("_k", "component_id").distinct()
-    ids = some.select("_k", F.col("doc_id").cast("long").alias("id")).distinct()
+    (k,) = free_names([*docs.columns, "id", "m"], "_k")
+    some = docs.filter(worded).withColumn(k, key)
+    groups = jaccard_join.near_duplicates(some, key=k).select(k, "component_id").distinct()
+    ids = some.select(k, F.col("doc_id").cast("long").alias("id")).distinct()
     # a null id comes before all others; equal ids go by the hash
-    least = ids.join(groups, "_k").groupBy("component_id").agg(F.min(F.struct("id", "_k")).alias("m")).select(F.col("m._k").alias("_k"))
-    return some.dropDuplicates(["_k"]).join(least, "_k", "left_semi").select(*docs.columns).union(docs.filter(~worded))
+    least = ids.join(groups, k).groupBy("component_id").agg(F.min(F.struct("id", k)).alias("m")).select(F.col(f"m.{k}").alias(k))
+    return some.dropDuplicates([k]).join(least, k, "left_semi").select(*docs.columns).union(docs.filter(~worded))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents so that their sources meet their target weights."""
-    mixed = mixing.mix(docs, lambda s: mixing.cycled_weights(s, WEIGHTS), BUDGET_SHARE, MAX_EPOCHS, SEED)
-    return mixing.repeated(mixed, docs.columns)
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    mixed = mixing.mix(docs, lambda s: mixing.cycled_weights(s, WEIGHTS), BUDGET_SHARE, MAX_EPOCHS, SEED, prefix=prefix)
+    return mixing.repeated(mixed, docs.columns, prefix=prefix)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
