@@ -32,9 +32,13 @@ def without(postings: DataFrame, keys: DataFrame) -> DataFrame:
     return postings.join(keys.select("u_hash"), "u_hash", "left_anti").select(*postings.columns)
 
 
-def frequencies(postings: DataFrame) -> DataFrame:
-    """Documents per term."""
-    return postings.groupBy("term").agg(F.countDistinct("u_hash").alias("df"))
+def frequencies(postings: DataFrame, versions: bool = True) -> DataFrame:
+    """Documents per term.
+
+    Where a key has one version only (versions=False) its terms are distinct already, and a count, summed
+    in each task first, does.
+    """
+    return postings.groupBy("term").agg((F.countDistinct("u_hash") if versions else F.count("u_hash")).alias("df"))
 
 
 def nested(postings: DataFrame) -> DataFrame:

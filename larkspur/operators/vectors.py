@@ -30,12 +30,18 @@ def semantic_search(vectors: DataFrame, query: list[float], key: str = "u_hash",
     return out if limit is None else out.limit(limit)
 
 
-def reciprocal_ranks(ranked: DataFrame, key: str, order: list, k: int = RRF_K) -> DataFrame:
+def reciprocal_ranks(ranked: DataFrame, key: str, order: list, buckets: list[Column], k: int = RRF_K) -> DataFrame:
     """1 / (k + rank) of one ranked list, rank from 1.
 
-    The list is one query's hits, so one window over it is as large as its result.
+    buckets: whole numbers that rise along `order`.  Buckets are counted, and rows are ranked inside theirs, so only
+    the table of buckets is in one task.
     """
-    return ranked.select(key, (F.lit(1.0) / (F.lit(k) + F.row_number().over(Window.orderBy(*order)))).alias("part"))
+    names = [f"_b{i}" for i in range(len(buckets))]
+    dealt = ranked.withColumns(dict(zip(names, buckets)))
+    before = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).select(*names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    return dealt.withColumn("_place", place).join(starts, names).select(key, (F.lit(1.0) / (F.lit(k) + F.col("_start") + F.col("_place"))).alias("part"))
 
 
 def fuse(lists: list[DataFrame], key: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,27 +13,34 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import keys, text
 from larkspur.operators import compaction, kv, postings, recovery, search, vectors
+from larkspur.store import DocumentStore
 
 # Sample keywords of the queries.
 KEYWORD = "the station"
 PAGE_KEYWORD = "window harbor"
 TALK_KEYWORD = "hello water"
 PAGE_URL = "SELECT min(url) AS url FROM pages"
-CHECKPOINT, TORN_AT, TOP = 100, 5000, 20
+CHECKPOINT, TOP = 100, 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its scan has fewer tasks than there are; texts cost more to cut up than to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as postings (term, u_hash = doc_id, lsn, segment_id)."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return text.exploded(docs, "text", "doc_id").select("term", F.col("doc_id").alias("u_hash"), F.col("doc_id").alias("lsn"), F.lit(0).cast("long").alias("segment_id"))
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.scan_scores(_table(spark, sf_dir, "documents"), KEYWORD, "text", "doc_id")
+    return search.scan_scores(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), KEYWORD, "text", "doc_id")
 
 
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,27 +54,28 @@ def _talk_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
+    pages = _spread(_table(spark, sf_dir, "pages"))
     key = keys.url_key(F.col("url"))
     return pages.select(F.col("page_id").alias("lsn"), F.lit("put").alias("op"), key.alias("u_hash"), keys.shard_of(key).alias("shard_id"), "url", F.col("html").alias("content"), F.lit(None).cast("string").alias("metadata"), F.lit(1).alias("type"), F.lit(0).cast("long").alias("ts"))
 
 
 def _event_wal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a log: odd ids commit, even ids prepare; some commits are missing, one entry is torn."""
-    e = _table(spark, sf_dir, "events").filter(~((F.col("event_id") % 2 == 1) & (F.col("event_id") % 10 == 3)))
-    return e.select(
+    """The events as a log: odd ids commit, even ids prepare; commits of the type error were never written, the last entry but one is torn."""
+    e = _table(spark, sf_dir, "events").filter(~((F.col("event_id") % 2 == 1) & F.col("event_type").eqNullSafe("error")))
+    torn = e.agg((F.max("event_id") - 1).alias("_torn"))  # one row
+    return e.join(F.broadcast(torn)).select(
         F.col("event_id").alias("pos"),
         F.floor(F.col("event_id") / 2).cast("long").alias("lsn"),
         (F.col("event_id") % 2 + 1).cast("byte").alias("state"),
         F.col("user_id").alias("u_hash"),
-        (F.col("event_id") != TORN_AT).alias("crc_ok"),
+        (F.col("event_id") != F.col("_torn")).alias("crc_ok"),
     )
 
 
 def _sql_terms(column: str) -> str:
     """The terms of a column in DuckDB."""
     return (
-        f"list_distinct(flatten(list_transform(list_filter(string_split_regex(regexp_replace(lower(coalesce({column}, '')), '[^a-z0-9가-힣ぁ-んァ-ヶ亜-熙\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 0), "
+        f"list_distinct(flatten(list_transform(list_filter(string_split_regex(regexp_replace(lower(coalesce({column}, '')), '{text.SEPARATORS}', ' ', 'g'), '\\s+'), lambda w: length(w) > 0), "
         "lambda w: CASE WHEN length(w) < 2 OR regexp_full_match(w, '[0-9]+') THEN [w] ELSE list_concat(list_transform(range(1, length(w)), lambda i: substr(w, i, 2)), CASE WHEN length(w) > 2 THEN [w] ELSE [] END) END)))"
     )
 
@@ -89,7 +101,7 @@ def _query(sql: str | None = None):
 
 @_query(f"SELECT doc_id, term FROM ({_sql_postings('documents', 'text', 'doc_id')})")
 def tokenize_documents(spark, sf_dir):
-    return text.exploded(_table(spark, sf_dir, "documents"), "text", "doc_id")
+    return text.exploded(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id")
 
 
 @_query("SELECT doc_id, unnest(list_distinct(list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: length(w) > 1), lambda w: trim(lower(w), '.,! ')))) AS term FROM documents")
@@ -106,12 +118,13 @@ def tokenize_ascii(spark, sf_dir):
 
 @_query(f"SELECT term, count(DISTINCT doc_id) AS df FROM ({_sql_postings('documents', 'text', 'doc_id')}) GROUP BY term")
 def term_document_frequency(spark, sf_dir):
-    return postings.frequencies(_documents(spark, sf_dir))
+    ids = _table(spark, sf_dir, "documents").groupBy("doc_id").count()
+    return postings.frequencies(_documents(spark, sf_dir), versions=bool(ids.filter("count > 1").limit(1).count()))
 
 
 @_query(f"SELECT term, count(DISTINCT conv_id) AS n_keys FROM ({_sql_postings('conversations', 'text', 'conv_id')}) GROUP BY term")
 def posting_list_sizes(spark, sf_dir):
-    return postings.nested(_talk(spark, sf_dir)).select("term", F.size("keys").cast("long").alias("n_keys"))
+    return postings.frequencies(_talk(spark, sf_dir)).withColumnRenamed("df", "n_keys")
 
 
 @_query(f"SELECT DISTINCT doc_id FROM ({_sql_postings('documents', 'text', 'doc_id')}) WHERE term IN ({_sql_query(KEYWORD)})")
@@ -235,7 +248,8 @@ def compaction_due(spark, sf_dir):
     return n.select((F.col("segments") >= compaction.SEGMENTS).alias("due"), "segments")
 
 
-_WAL = f"SELECT event_id AS pos, event_id // 2 AS lsn, event_id % 2 + 1 AS state, user_id AS u_hash, event_id <> {TORN_AT} AS crc_ok FROM events WHERE NOT (event_id % 2 = 1 AND event_id % 10 = 3)"
+_LOGGED = "SELECT * FROM events WHERE NOT (event_id % 2 = 1 AND event_type IS NOT DISTINCT FROM 'error')"
+_WAL = f"SELECT event_id AS pos, event_id // 2 AS lsn, event_id % 2 + 1 AS state, user_id AS u_hash, event_id <> (SELECT max(event_id) - 1 FROM ({_LOGGED})) AS crc_ok FROM ({_LOGGED})"
 _VALID = f"SELECT * FROM ({_WAL}) WHERE pos < coalesce((SELECT min(pos) FROM ({_WAL}) WHERE NOT crc_ok), 9223372036854775807)"
 
 
@@ -275,6 +289,43 @@ def checksum_crc32(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", keys.crc(F.col("text")).alias("crc"))
 
 
+def _store(spark: SparkSession, sf_dir: str) -> DocumentStore:
+    """A store in a scratch folder: all pages put in one commit, some urls deleted in the next, then compacted."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="larkspur-store-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    store = DocumentStore(spark, f"{folder}/store-{uuid.uuid4().hex}")
+    pages = _table(spark, sf_dir, "pages")
+    store.put_many(pages.select("url", F.col("html").alias("content"), F.col("page_id").alias("seq")))
+    gone = pages.filter(F.substring(F.sha2("url", 256), 1, 1).isin("0", "1", "2")).select("url").distinct()
+    store.put_many(gone.select("url", F.lit(None).cast("string").alias("content"), F.lit("delete").alias("op"), F.lit(0).cast("long").alias("seq")))
+    store.run_compact()
+    return store
+
+
+_LIVE = "SELECT url, max(page_id) AS page_id FROM pages WHERE url IS NOT NULL AND substr(sha256(url), 1, 1) NOT IN ('0', '1', '2') GROUP BY url"
+
+
+@_query(f"SELECT p.url, md5(p.html) AS checksum FROM pages p JOIN ({_LIVE}) l USING (url, page_id)")
+def store_values(spark, sf_dir):
+    return _store(spark, sf_dir).values().select("url", keys.checksum(F.col("content")).alias("checksum"))
+
+
+@_query(f"SELECT url, count(DISTINCT term) AS score FROM ({_sql_postings('pages', 'html', 'url')}) JOIN ({_LIVE}) USING (url) WHERE term IN ({_sql_query(PAGE_KEYWORD)}) GROUP BY url")
+def store_ranking_search(spark, sf_dir):
+    return _store(spark, sf_dir).ranking_search(PAGE_KEYWORD).select("url", "score")
+
+
+@_query(f"SELECT DISTINCT term, url FROM ({_sql_postings('pages', 'html', 'url')}) WHERE url IS NOT NULL")
+def store_rebuild(spark, sf_dir):
+    """The index after a rebuild from the whole log, deleted keys with it."""
+    store = _store(spark, sf_dir)
+    store.rebuild()
+    urls = store.log().select("u_hash", "url").distinct()
+    return store.postings().join(urls, "u_hash").select("term", "url").distinct()
+
+
 _QUERY_VECTOR = "SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)"
 _SIMILAR = f"SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS s FROM embeddings, ({_QUERY_VECTOR})"
 
@@ -301,7 +352,9 @@ def semantic_search(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     words = _scanned(spark, sf_dir)
     near = _similar(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), _rounded(F.col("similarity")).alias("similarity"))
-    parts = [vectors.reciprocal_ranks(words, "doc_id", [F.desc("score"), "doc_id"]), vectors.reciprocal_ranks(near, "doc_id", [F.desc("similarity"), "doc_id"])]
+    by_score = [-F.col("score"), F.floor(F.col("doc_id") / 65536)]
+    by_nearness = [F.floor(F.col("similarity") * -10_000)]
+    parts = [vectors.reciprocal_ranks(words, "doc_id", [F.desc("score"), "doc_id"], by_score), vectors.reciprocal_ranks(near, "doc_id", [F.desc("similarity"), "doc_id"], by_nearness)]
     return vectors.fuse(parts, "doc_id").select("doc_id", _rounded(F.col("rrf")).alias("rrf"))
 
 

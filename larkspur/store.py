@@ -2,21 +2,28 @@
 
 Layout under a folder on any file system Spark reaches:
 
-    records/batch=N/    change-log rows of one commit
-    postings/segment=N/ index rows of one commit, or of one compaction
-    manifest/N.json     what version N consists of; written to a temporary name and renamed last
-
-A version is visible once its manifest is there, so records and postings commit together, readers
-see one version throughout, and a crash leaves only files that nothing refers to.  There is one
-writer at a time; sequence numbers grow across reopenings and are never reused.  Batches are numbered, so a
-replayed streaming batch overwrites its own folders and commits once.
+    records/batch=N-X/    change-log rows of one commit, or of several merged ones
+    postings/segment=N-X/ index rows of one commit, or of one compaction
+    staging/X/            what a put was given; rejected rows stay readable there until vacuum()
+    manifest/N.json       what version N consists of; written to a temporary name, then put in place
+
+X is unique to an attempt, so no writer touches another's files.  A version is visible once its manifest is
+there, so records and postings commit together, readers see one version throughout, and a crash leaves only
+files that nothing refers to.  A manifest is put in place only if there is none of its number (a hard link on local
+files, a rename on HDFS; object stores need a committer that offers the same), so of writers that meet one commits, and
+the others see its version and try again.  Sequence numbers grow across reopenings and are never reused.
+
+Folders have a tier: ten of one tier are merged into one of the next after a commit, so n commits leave
+some 10 * log10(n) folders to read.
 """
 
 from __future__ import annotations
 
 import json
+import random
 import time
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +39,25 @@ class ReadOnlyError(RuntimeError):
     pass
 
 
+class ConflictError(RuntimeError):
+    """Another writer committed this version first."""
+
+
+#: Attempts of one change among several writers, and manifests kept behind the current one.
+ATTEMPTS, MANIFESTS = 30, 20
+
+
 class DocumentStore:
     """A store in `folder`.
 
     postings_mode: "history" finds a key by the terms of all its versions, "current" by its last version's only.
+    auto_compact: merge folders after a commit when enough have gathered.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, read_only: bool = False, postings_mode: str = "history"):
+    def __init__(self, spark: SparkSession, folder: str, read_only: bool = False, postings_mode: str = "history", auto_compact: bool = True):
         if postings_mode not in ("history", "current"):
             raise ValueError("postings_mode is history or current")
-        self.spark, self.folder, self.read_only, self.postings_mode = spark, folder.rstrip("/"), read_only, postings_mode
+        self.spark, self.folder, self.read_only, self.postings_mode, self.auto_compact = spark, folder.rstrip("/"), read_only, postings_mode, auto_compact
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self.closed = False
         self._state = self._read_manifest()
@@ -61,7 +77,7 @@ class DocumentStore:
     def _read_manifest(self) -> dict:
         versions = self._versions()
         if not versions:
-            return {"version": 0, "lsn": 0, "next": 1, "batches": [], "segments": [], "streams": {}}
+            return {"version": 0, "lsn": 0, "next": 1, "batches": {}, "segments": {}, "streams": {}}
         stream = self._fs.open(self._path("manifest", f"{versions[-1]}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -70,15 +86,33 @@ class DocumentStore:
 
     def _commit(self, state: dict) -> None:
         state = state | {"version": self._state["version"] + 1}
-        draft, final = self._path("manifest", f".{state['version']}.tmp"), self._path("manifest", f"{state['version']}.json")
+        draft, final = self._path("manifest", f".{state['version']}-{uuid.uuid4().hex}.tmp"), self._path("manifest", f"{state['version']}.json")
         out = self._fs.create(draft, True)
         try:
             out.write(bytearray(json.dumps(state).encode()))
         finally:
             out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"version {state['version']} was written by someone else")
+        if not self._put_in_place(draft, final):
+            self._fs.delete(draft, False)
+            raise ConflictError(f"version {state['version']} was written by someone else")
         self._state = state
+        old = self._path("manifest", f"{state['version'] - MANIFESTS}.json")
+        if state["version"] > MANIFESTS and self._fs.exists(old):
+            self._fs.delete(old, False)
+
+    def _put_in_place(self, draft, final) -> bool:
+        """Give draft its final name unless that is taken."""
+        if self._fs.getUri().getScheme() != "file":
+            return not self._fs.exists(final) and self._fs.rename(draft, final)
+        jvm = self.spark._jvm
+        try:  # a rename would replace what is there
+            jvm.java.nio.file.Files.createLink(*(jvm.java.io.File(p.toUri().getPath()).toPath() for p in (final, draft)))
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        self._fs.delete(draft, False)
+        return True
 
     def refresh(self) -> None:
         """See what another writer has committed since."""
@@ -89,7 +123,7 @@ class DocumentStore:
         return self._state["lsn"]
 
     @property
-    def segments(self) -> list[int]:
+    def segments(self) -> list[str]:
         return list(self._state["segments"])
 
     def log(self) -> DataFrame:
@@ -112,45 +146,103 @@ class DocumentStore:
         if self.read_only or self.closed:
             raise ReadOnlyError("the store is read-only" if self.read_only else "the store is closed")
 
-    def _append(self, rows: DataFrame, stream: tuple[str, int] | None = None) -> int:
-        """Write change-log rows and their postings under one number and commit both; how many rows."""
-        number, state = self._state["next"], self._state
-        at = f"{self.folder}/records/batch={number}"
-        rows.repartitionByRange("u_hash").sortWithinPartitions("u_hash", "lsn").write.mode("overwrite").option("compression", "zstd").parquet(at)
-        written = self.spark.read.schema(RECORDS).parquet(at)
-        count, last = written.agg(F.count(F.lit(1)), F.max("lsn")).first()
-        new = state | ({"streams": state["streams"] | {stream[0]: stream[1]}} if stream else {})
-        if count:
-            self._write_segment(postings.build(written, F.lit(number)), number)
-            new |= {"lsn": last, "next": number + 1, "batches": [*state["batches"], number], "segments": [*state["segments"], number]}
-        if new != state:
-            self._commit(new)
-        return count
-
-    def _write_segment(self, index: DataFrame, number: int) -> None:
-        postings.arranged(index).write.mode("overwrite").option("compression", "zstd").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/postings/segment={number}")
+    def _name(self) -> str:
+        return f"{self._state['next']}-{uuid.uuid4().hex[:12]}"
+
+    def _write_records(self, rows: DataFrame, name: str) -> DataFrame:
+        at = f"{self.folder}/records/batch={name}"
+        rows.repartitionByRange("u_hash").sortWithinPartitions("u_hash", "lsn").write.option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(RECORDS).parquet(at)
+
+    def _append(self, make: Callable[[int], DataFrame], stream: tuple[str, int] | None = None) -> int:
+        """Write make(last sequence number) as change-log rows, and their postings, and commit both; how many rows.
+
+        If another writer commits first, all is done again above its sequence numbers.
+        """
+        for attempt in range(ATTEMPTS):
+            state, name = self._state, self._name()
+            if stream and state["streams"].get(stream[0], -1) >= stream[1]:
+                return 0
+            written = self._write_records(make(state["lsn"]), name)
+            if written.groupBy("u_hash", "lsn").count().filter("count > 1").limit(1).count():
+                raise ValueError("two changes of one key have the same seq")
+            count, last = written.agg(F.count(F.lit(1)), F.max("lsn")).first()
+            new = state | ({"streams": state["streams"] | {stream[0]: stream[1]}} if stream else {})
+            if count:
+                self._write_segment(postings.build(written, F.lit(state["next"])), name)
+                new |= {"lsn": last, "next": state["next"] + 1, "batches": state["batches"] | {name: 0}, "segments": state["segments"] | {name: 0}}
+            try:
+                if new != state:
+                    self._commit(new)
+            except ConflictError:
+                if attempt == ATTEMPTS - 1:
+                    raise
+                time.sleep(random.random() * min(2.0, 0.1 * 2**attempt))
+                self.refresh()
+                continue
+            if self.auto_compact:
+                self._tidy()
+            return count
+        raise AssertionError
+
+    def _tidy(self) -> None:
+        """Merge folders of a tier that has enough of them.  What another writer commits meanwhile comes first: then nothing is merged now."""
+        try:
+            for kind in ("batches", "segments"):
+                tier = 0
+                while tier <= max(self._state[kind].values(), default=-1):
+                    some = [n for n, t in self._state[kind].items() if t == tier]
+                    if compaction.should_compact(len(some)):
+                        self._merge(kind, some, tier + 1)
+                    tier += 1
+        except ConflictError:
+            self.refresh()
+
+    def _merge(self, kind: str, some: list[str], tier: int) -> None:
+        name = self._name()
+        if kind == "batches":
+            self._write_records(self.spark.read.schema(RECORDS).parquet(*[f"{self.folder}/records/batch={n}" for n in some]), name)
+        else:
+            index = self.spark.read.schema(POSTINGS).parquet(*[f"{self.folder}/postings/segment={n}" for n in some])
+            self._write_segment(compaction.merged(index, self._state["next"]), name)
+        left = {n: t for n, t in self._state[kind].items() if n not in some}
+        self._commit(self._state | {"next": self._state["next"] + 1, kind: left | {name: tier}})
+
+    def _write_segment(self, index: DataFrame, name: str) -> None:
+        postings.arranged(index).write.option("compression", "zstd").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/postings/segment={name}")
 
     def put_many(self, rows: DataFrame, stream: tuple[str, int] | None = None) -> tuple[int, DataFrame]:
         """Put a frame of (url, content[, metadata, type, op, seq]) in one commit.
 
         op 'delete' makes a tombstone.  Sequence numbers are seq (from 0) above the last one; seq orders changes of one key
         inside the batch, and by default follows the frame's partitions and rows.  Returns how many rows went in,
-        and the rejected rows: no url, puts without content, or with metadata that lacks a description.
+        and the rejected rows: no url, puts without content, or with metadata that lacks a description, an op that is
+        neither put nor delete (null is put), a seq that is null or below 0.  The frame is evaluated once.
+        Raises ValueError, with nothing written, if two changes of one key have the same seq.
         """
         self._writable()
         metadata = F.col("metadata") if "metadata" in rows.columns else F.lit(None).cast("string")
         valid = changelog.is_valid(F.col("url"), F.col("content"), metadata)
         if "op" in rows.columns:
-            valid = F.when(F.col("op") == changelog.DELETE, F.col("url").isNotNull()).otherwise(valid)
-        valid = F.coalesce(valid, F.lit(False))
-        seq = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
-        numbered = rows.withColumn("_lsn", F.lit(self._state["lsn"] + 1) + seq)
-        return self._append(changelog.changes(numbered.filter(valid), F.col("_lsn")), stream), rows.filter(~valid)
+            op = F.coalesce(F.col("op"), F.lit(changelog.PUT))
+            valid = F.when(op == changelog.DELETE, F.col("url").isNotNull()).otherwise(valid & (op == changelog.PUT))
+        if "seq" in rows.columns:
+            valid = valid & (F.col("seq") >= 0)
+        at = f"{self.folder}/staging/{uuid.uuid4().hex}"
+        staged = rows.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+        if "seq" not in rows.columns:
+            staged = staged.withColumn("_seq", F.monotonically_increasing_id())
+        staged.write.parquet(at)
+        staged = self.spark.read.schema(staged.schema).parquet(at)
+        seq = F.col("seq" if "seq" in rows.columns else "_seq")
+        good = staged.filter("_ok")
+        count = self._append(lambda last: changelog.changes(good.withColumn("_lsn", F.lit(last + 1) + seq), F.col("_lsn")), stream)
+        return count, staged.filter(~F.col("_ok")).select(*rows.columns)
 
     def _one(self, url: str, content: str | None, metadata: dict | str | None, op: str) -> None:
         text = metadata if metadata is None or isinstance(metadata, str) else json.dumps(metadata, ensure_ascii=False)
         row = self.spark.createDataFrame([(url, content, text, 1, op)], INPUT)
-        self._append(changelog.changes(row, F.lit(self._state["lsn"] + 1), F.lit(int(time.time()))).coalesce(1))
+        self._append(lambda last: changelog.changes(row, F.lit(last + 1), F.lit(int(time.time()))).coalesce(1))
 
     def put(self, url: str, content: str, metadata: dict | str | None = None) -> str | None:
         """Insert or replace one document; its key, or None if it was rejected (nothing is then written).
@@ -178,8 +270,8 @@ class DocumentStore:
     # --- queries
 
     def get(self, url: str) -> Row | None:
-        """The current (url, type, metadata, content) of one document."""
-        return kv.get(self.log(), url).select("url", "type", "metadata", "content").first()
+        """The current (url, type, metadata, content, ts) of one document."""
+        return kv.get(self.log(), url).select("url", "type", "metadata", "content", "ts").first()
 
     def get_many(self, urls: Iterable[str] | DataFrame) -> DataFrame:
         frame = urls if isinstance(urls, DataFrame) else self.spark.createDataFrame([(u,) for u in urls], "url string")
@@ -207,27 +299,31 @@ class DocumentStore:
         self._writable()
         if not self._state["segments"]:
             return
-        number = self._state["next"]
+        number, name = self._state["next"], self._name()
         merged = compaction.compact(self.postings(), kv.live_keys(self.log()), number)
-        self._write_segment(merged, number)
-        self._commit(self._state | {"next": number + 1, "segments": [number]})
+        self._write_segment(merged, name)
+        self._commit(self._state | {"next": number + 1, "segments": {name: max(self._state["segments"].values())}})
 
     def rebuild(self) -> None:
         """Replace all segments by a fresh index of the change log."""
         self._writable()
-        number = self._state["next"]
-        self._write_segment(postings.build(self.log(), F.lit(number)), number)
-        self._commit(self._state | {"next": number + 1, "segments": [number]})
+        number, name = self._state["next"], self._name()
+        self._write_segment(postings.build(self.log(), F.lit(number)), name)
+        self._commit(self._state | {"next": number + 1, "segments": {name: max(self._state["segments"].values(), default=0)}})
 
-    def vacuum(self) -> int:
-        """Delete folders and manifests that the current version doesn't use; how many."""
+    def vacuum(self, min_age: float = 0) -> int:
+        """Delete folders and manifests that the current version doesn't use; how many.
+
+        min_age: seconds since a folder's last change; more than any commit takes, if other writers are at work.
+        """
         self._writable()
         gone = 0
-        for kind, name, used in (("records", "batch", self._state["batches"]), ("postings", "segment", self._state["segments"])):
+        self.refresh()
+        latest = (time.time() - min_age) * 1000
+        for kind, name, used in (("records", "batch=", self._state["batches"]), ("postings", "segment=", self._state["segments"]), ("staging", "", {})):
             if self._fs.exists(self._path(kind)):
                 for s in self._fs.listStatus(self._path(kind)):
-                    n = s.getPath().getName().removeprefix(f"{name}=")
-                    if n.isdigit() and int(n) not in used:
+                    if s.getPath().getName().removeprefix(name) not in used and (not min_age or s.getModificationTime() < latest):
                         gone += bool(self._fs.delete(s.getPath(), True))
         for v in self._versions()[:-1]:
             gone += bool(self._fs.delete(self._path("manifest", f"{v}.json"), False))

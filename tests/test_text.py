@@ -9,14 +9,10 @@ from larkspur.functions import keys, text
 
 
 def plain_terms(value):
-    """The tokenizer's rule, spelled out."""
-    out = set()
-    for w in re.sub(r"[^a-z0-9가-힣ぁ-んァ-ヶ亜-熙\s]", " ", (value or "").lower()).split():
-        if w.isdigit() or len(w) < 2:
-            out.add(w)
-        else:
-            out |= {w[i : i + 2] for i in range(len(w) - 1)} | ({w} if len(w) > 2 else set())
-    return out
+    """What a text is found by: each run of letters and digits whole, and its neighbours in pairs, those of numbers apart."""
+    runs = re.findall("[a-z0-9가-힣ぁ-んァ-ヶ亜-熙]+", (value or "").lower())
+    pairs = {a + b for r in runs if not re.fullmatch("[0-9]+", r) for a, b in zip(r, r[1:])}
+    return pairs | set(runs)
 
 
 FIXTURE = {

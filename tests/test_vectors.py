@@ -15,7 +15,7 @@ def test_cosine_and_search(spark):
 def test_fusion(spark):
     a = spark.createDataFrame([("x", 3), ("y", 2)], "k string, s int")
     b = spark.createDataFrame([("y", 9)], "k string, s int")
-    got = {r["k"]: r["rrf"] for r in vectors.fuse([vectors.reciprocal_ranks(t, "k", [F.desc("s"), "k"]) for t in (a, b)], "k").collect()}
+    got = {r["k"]: r["rrf"] for r in vectors.fuse([vectors.reciprocal_ranks(t, "k", [F.desc("s"), "k"], [F.floor(F.col("s") / -2)]) for t in (a, b)], "k").collect()}
     assert abs(got["y"] - (1 / 62 + 1 / 61)) < 1e-12 and abs(got["x"] - 1 / 61) < 1e-12
 
 
