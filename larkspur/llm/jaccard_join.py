@@ -53,8 +53,8 @@ FREQUENT = 0.001
 COUNTED = 1_500_000
 #: Shingles of sets that a Python worker sends together.
 SENT = 500_000
-#: Rows of two sets each that reach a Python worker together.
-PROBED = 500
+#: Rows of two sets each that reach a Python worker together, and their bytes.
+PROBED, PROBED_BYTES = 500, 8 << 20
 #: List entries to expect of a document; sizes the sketch and decides nothing else.
 ENTRIES_PER_DOCUMENT = 128
 _HEAVY = 1 << 62
@@ -275,13 +275,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     held = scratch.keep(texts.mapInArrow(sets, "k long, s binary"))
     session = texts.sparkSession
     both = pairs.join(held.select(F.col("k").alias("x"), F.col("s").alias("a")), "x").join(held.select(F.col("k").alias("y"), F.col("s").alias("b")), "y")
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = session.conf.get(size)
-    session.conf.set(size, str(PROBED))
+    # both sets travel with a pair, so a batch is bounded by bytes: sets of long texts come few at a time
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": PROBED, "spark.sql.execution.arrow.maxBytesPerBatch": PROBED_BYTES}
+    before = {k: session.conf.get(k, None) for k in bounds}
     try:
+        for k, v in bounds.items():
+            session.conf.set(k, str(v))
         return scratch.keep(both.select("x", "y", "a", "b").mapInArrow(probe, "x long, y long").distinct())
     finally:
-        session.conf.set(size, before)
+        for k, v in before.items():
+            session.conf.unset(k) if v is None else session.conf.set(k, v)
 
 
 def _links(entries: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
