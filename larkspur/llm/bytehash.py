@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time, if no single text or word is longer.
-PIECE = 2 << 20
+PIECE = 512 << 10
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
