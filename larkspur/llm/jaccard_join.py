@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import hash_spans, mixed, pieces, text_bytes, window_hashes, word_spans
+from .bytehash import hash_spans, mixed, pieces, text_bytes, tidied, window_hashes, word_spans
 from .common import Scratch, checkpointed
 from .components import components
 from .sketch import maybe_member, maybe_repeated, members, repeated_bits, sketch_bits
@@ -127,7 +127,7 @@ def _facts(texts: DataFrame) -> DataFrame:
             if rows:
                 yield from counted(sets, batch.column(2).slice(at, len(rows)), rows)
 
-    return texts.mapInArrow(read, "id long, k long, n long, c1 long, c2 long, token long, count long")
+    return texts.mapInArrow(tidied(read), "id long, k long, n long, c1 long, c2 long, token long, count long")
 
 
 def _frequent(facts: DataFrame, docs: int) -> np.ndarray:
@@ -175,7 +175,7 @@ def _short_lists(texts: DataFrame, reps: DataFrame, frequent: np.ndarray) -> Dat
             if ids:
                 yield _signed(ids, sizes, short)
 
-    return texts.mapInArrow(sign, "rep long, n long, short binary")
+    return texts.mapInArrow(tidied(sign), "rep long, n long, short binary")
 
 
 def _signed(ids: list[int], sizes: list[int], short: list[np.ndarray]) -> pa.RecordBatch:
@@ -208,7 +208,7 @@ def _entries(short: DataFrame) -> DataFrame:
             if rows:
                 yield _listed(rows)
 
-    return short.select("rep", "n", "short").mapInArrow(entries, "token long, rep long, n long, dead int, last long")
+    return short.select("rep", "n", "short").mapInArrow(tidied(entries), "token long, rep long, n long, dead int, last long")
 
 
 def _listed(rows: list[tuple]) -> pa.RecordBatch:
@@ -272,7 +272,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
                 keep.append(bool(len(x)) and shared >= need)
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep, pa.bool_())), batch.column("y").filter(pa.array(keep, pa.bool_()))], names=["x", "y"])
 
-    held = scratch.keep(texts.mapInArrow(sets, "k long, s binary"))
+    held = scratch.keep(texts.mapInArrow(tidied(sets), "k long, s binary"))
     session = texts.sparkSession
     both = pairs.join(held.select(F.col("k").alias("x"), F.col("s").alias("a")), "x").join(held.select(F.col("k").alias("y"), F.col("s").alias("b")), "y")
     # both sets travel with a pair, so a batch is bounded by bytes: sets of long texts come few at a time
@@ -281,7 +281,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     try:
         for k, v in bounds.items():
             session.conf.set(k, str(v))
-        return scratch.keep(both.select("x", "y", "a", "b").mapInArrow(probe, "x long, y long").distinct())
+        return scratch.keep(both.select("x", "y", "a", "b").mapInArrow(tidied(probe), "x long, y long").distinct())
     finally:
         for k, v in before.items():
             session.conf.unset(k) if v is None else session.conf.set(k, v)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytehash import pieces, text_bytes
+from .bytehash import pieces, text_bytes, tidied
 from .common import held_out
 
 UNKNOWN = "und"
@@ -151,7 +151,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
             yield pa.record_batch([pa.array([lang]), pa.array([half], pa.int32()), pa.array([c.astype(np.float32).tobytes()], pa.binary())], names=["lang", "half", "counts"])
 
     counts = np.zeros((len(languages), 2, 1 << LOG_FEATURES))
-    for r in sorted(some.mapInArrow(count, "lang string, half int, counts binary").collect(), key=lambda r: (r["lang"], r["half"], r["counts"])):
+    for r in sorted(some.mapInArrow(tidied(count), "lang string, half int, counts binary").collect(), key=lambda r: (r["lang"], r["half"], r["counts"])):
         counts[languages.index(r["lang"]), r["half"]] += np.frombuffer(r["counts"], dtype=np.float32)
     code = codewords(len(languages))
 
@@ -208,4 +208,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", margin: f
                     unclear.append(bool(len(rest) and rest.min() - loss[best] < margin))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unclear, pa.bool_())], names=[*batch.schema.names, *names])
 
-    return plain.mapInArrow(predict, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    return plain.mapInArrow(tidied(predict), f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytehash import tidied
 from .common import checkpointed, numbered
 
 CAPACITY = 1024
@@ -119,7 +120,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0])), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], names=[key, "piece", "start", "length", "ids"])
                     rows, size = [[], [], [], [], []], 0
 
-    return docs.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids binary")
+    return docs.select(key, text).mapInArrow(tidied(cut), f"`{key}` {kind}, piece int, start long, length long, ids binary")
 
 
 # --- bin packing of a histogram
@@ -338,7 +339,7 @@ def pack(parts: DataFrame, order: list[str], length: str = "length", capacity: i
             sequence = t["sequence"][at] + rank - t["first"][at]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(sequence), pa.array(t["offset"][at])], names=[*columns, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidied(place), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytehash import mixed
+from .bytehash import mixed, tidied
 
 MAX_BITS = 28
 BLOCKS = 64
@@ -60,7 +60,7 @@ def repeated_bits(rows: DataFrame, names_of: Callable[[pa.RecordBatch], Iterator
         for part, total in sums.items():
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["part", "bits"])
 
-    made = rows.mapInArrow(partial, "part int, cells binary, counts binary").repartition(BLOCKS // 2, "part").mapInArrow(merge, "part int, bits binary")
+    made = rows.mapInArrow(tidied(partial), "part int, cells binary, counts binary").repartition(BLOCKS // 2, "part").mapInArrow(tidied(merge), "part int, bits binary")
     out = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(2)]
     for r in made.collect():
         row, i = divmod(r["part"], BLOCKS)
