@@ -42,10 +42,19 @@ def get(log: DataFrame, url: str) -> DataFrame:
     return live(mine)
 
 
-def get_many(log: DataFrame, urls: DataFrame) -> DataFrame:
-    """The current rows of the urls in a column url."""
-    wanted = urls.select(url_key(F.col("url")).alias("u_hash")).distinct()
-    return live(log.join(wanted, "u_hash", "left_semi"))
+def get_many(log: DataFrame, urls: DataFrame, versions: bool = False) -> DataFrame:
+    """The current rows of the urls in a column url.
+
+    versions: urls has a column lsn too, and the rows logged under these numbers are returned, replaced since or
+    not; a delete is no row.  A log may have rows without a url: they are versions of one key, which has no current row.
+    """
+    if not versions:
+        wanted = urls.select(url_key(F.col("url")).alias("u_hash")).distinct()
+        return live(log.join(wanted, "u_hash", "left_semi"))
+    asked = urls.select(url_key(F.col("url")).alias("_key"), F.col("lsn").alias("_lsn"))
+    # key and number are hashed together, so a key with many versions is split
+    held = log.join(asked, F.col("u_hash").eqNullSafe(F.col("_key")) & (F.col("lsn") == F.col("_lsn")), "left_semi")
+    return held.filter(~F.coalesce(F.col("op") != PUT, F.lit(False)))
 
 
 def of_keys(log: DataFrame, keys: DataFrame, key: str = "u_hash", order: str = "lsn", deleted: Column | None = None) -> DataFrame:
